@@ -1,6 +1,186 @@
-def queries():
-    return {}
+"""Queries by name: (session, folder of tables) -> DataFrame. Their SQL is in `sql`."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import rendered
+from ..operators import carrier_month, flights, itemsets, kmeans, skew, wordcount
+from ..runtime import table
+from ..sources import readers, records
+from . import sql
+
+GRID = [(k, initial) for k in (4, 5, 6, 7) for initial in range(3)]
+
+
+def _flights(spark: SparkSession, d: str) -> DataFrame:
+    return readers.flights_of(table(spark, d, "flights"))
+
+
+def wc_counts(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.word_counts(table(spark, d, "documents"), "text")
+
+
+def wc_by_letter(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.letter_totals(table(spark, d, "documents"), "text")
+
+
+def flight_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return flights.connection_delays(_flights(spark, d))
+
+
+def flight_avg_filter_first(spark: SparkSession, d: str) -> DataFrame:
+    return flights.mean_delay(flights.connection_delays(_flights(spark, d)))
+
+
+def flight_avg_join_first_v1(spark: SparkSession, d: str) -> DataFrame:
+    return flights.mean_delay(flights.connection_delays_filtered_late(_flights(spark, d), both=True))
+
+
+def flight_avg_join_first_v2(spark: SparkSession, d: str) -> DataFrame:
+    return flights.mean_delay(flights.connection_delays_filtered_late(_flights(spark, d), both=False))
+
+
+def flight_count_avg(spark: SparkSession, d: str) -> DataFrame:
+    return flights.count_and_mean(flights.connection_delays(_flights(spark, d)))
+
+
+def connections_count_avg(spark: SparkSession, d: str) -> DataFrame:
+    return flights.count_and_mean(table(spark, d, "connections"))
+
+
+def carrier_month_flat(spark: SparkSession, d: str) -> DataFrame:
+    return carrier_month.monthly_means(_flights(spark, d))
+
+
+def carrier_month_nested(spark: SparkSession, d: str) -> DataFrame:
+    return carrier_month.nested_means(_flights(spark, d))
+
+
+def flight_row_keys(spark: SparkSession, d: str) -> DataFrame:
+    return carrier_month.keyed_flights(_flights(spark, d)).select("row_key", "year", "carrier", "month", "row_id")
+
+
+def flight_key_scan(spark: SparkSession, d: str) -> DataFrame:
+    return carrier_month.key_scan(carrier_month.keyed_flights(_flights(spark, d)))
+
+
+def transactions(spark: SparkSession, d: str) -> DataFrame:
+    return itemsets.transactions(table(spark, d, "listens"), "user_key", "song").select("user", "id", rendered(F.col("songs")).alias("songs"))
+
+
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    return itemsets.holdings(table(spark, d, "user_transactions"), "tx_id", "songs")
+
+
+def frequent_items(spark: SparkSession, d: str) -> DataFrame:
+    found = itemsets.frequent_items(_held(spark, d))
+    return found.select(F.col("items")[0].alias("item"), "support", rendered(F.col("users")).alias("users"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return itemsets.frequent_pairs(itemsets.frequent_items(_held(spark, d)))
+
+
+def _shown(level: DataFrame) -> DataFrame:
+    return level.select(rendered(F.col("items")).alias("itemset"), F.size("users").cast("bigint").alias("support"))
+
+
+def frequent_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select(rendered(F.col("items")).alias("pair"), F.size("users").cast("bigint").alias("support"), rendered(F.col("users")).alias("users"))
+
+
+def _level(size: int) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _shown(itemsets.itemsets(_pairs(spark, d), size)[size])
+
+
+def itemsets_unpruned_k3(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(itemsets.next_level(_pairs(spark, d), 3, prune=False))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return readers.points_of(table(spark, d, "song_features"), "song_id", "artist_hotness", "loudness", "beat")
+
+
+def _starts(spark: SparkSession, d: str, grid: list[tuple[int, int]]) -> tuple[DataFrame, dict]:
+    points = _points(spark, d)
+    placed = itemsets.numbered(points, ["id", "hotness", "loudness", "beat"], "row_no")
+    seeds = kmeans.seed_rows(points.count())
+    at = kmeans.seeds_at(placed, sorted({r for k, i in grid for r in seeds[i : i + k]}))
+    by_row = dict(zip(sorted({r for k, i in grid for r in seeds[i : i + k]}), at.values()))
+    return points, {(k, i): {n + 1: by_row[r] for n, r in enumerate(seeds[i : i + k])} for k, i in grid}
+
+
+def kmeans_seeds(spark: SparkSession, d: str) -> DataFrame:
+    points, starts = _starts(spark, d, [(4, 0)])
+    return points.sparkSession.createDataFrame([(c, *x) for c, x in starts[4, 0].items()], "cluster int, hotness double, loudness double, beat double")
+
+
+def kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
+    points, starts = _starts(spark, d, [(4, 0)])
+    return kmeans.assign(points, starts[4, 0]).select("id", "cluster")
+
+
+def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
+    points, starts = _starts(spark, d, [(4, 0)])
+    return kmeans.update(kmeans.assign(points, starts[4, 0])).select("cluster", *[F.round(f, 6).alias(f) for f in kmeans.FEATURES], "n")
+
+
+def kmeans_threshold(spark: SparkSession, d: str) -> DataFrame:
+    points, starts = _starts(spark, d, GRID)
+    return kmeans.centers_frame(points, kmeans.until_close(points, starts), 4)
+
+
+def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
+    points, starts = _starts(spark, d, GRID)
+    return kmeans.sizes_frame(points, kmeans.until_still(points, starts))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    feeds = [records.rejected(table(spark, d, feed.name), feed) for feed in (records.FLIGHTS, records.SONGS)]
+    return feeds[0].unionByName(feeds[1]).select("feed", "line_id", "reason")
+
+
+def p4_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Rejected lines with the number of edits and a cheapest list of them."""
+    feeds = [records.rejected(table(spark, d, feed.name), feed) for feed in (records.FLIGHTS, records.SONGS)]
+    return feeds[0].unionByName(feeds[1])
+
+
+def p4_flights(spark: SparkSession, d: str) -> DataFrame:
+    return records.loaded(table(spark, d, "flight_lines"), records.FLIGHTS)
+
+
+def p4_songs(spark: SparkSession, d: str) -> DataFrame:
+    return records.loaded(table(spark, d, "song_lines"), records.SONGS)
+
+
+def _key_statistics(spark: SparkSession, d: str) -> DataFrame:
+    carriers = skew.key_statistics(table(spark, d, "flights"), "unique_carrier", "arr_delay_minutes", ["row_id"])
+    dummies = skew.key_statistics(table(spark, d, "connections"), "dummy", "total_delay", ["pair_id"])
+    named = lambda df, name: df.select(F.lit(name).alias("field_name"), "*")
+    return named(carriers, "unique_carrier").unionByName(named(dummies, "dummy"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _key_statistics(spark, d).filter("is_heavy").select("field_name", "key_value")
+
+
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _key_statistics(spark, d).select("field_name", "key_value", "n", "n_value", F.round("total", 3).alias("total"), F.round("mean", 6).alias("mean"), "is_heavy")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (
+        wc_counts, wc_by_letter, flight_pairs, flight_avg_filter_first, flight_avg_join_first_v1, flight_avg_join_first_v2, flight_count_avg, connections_count_avg, carrier_month_flat,
+        carrier_month_nested, flight_row_keys, flight_key_scan, transactions, frequent_items, frequent_pairs, itemsets_unpruned_k3, kmeans_seeds, kmeans_assign, kmeans_step,
+        kmeans_threshold, kmeans_sweep, p4_found, p4_rejected, p4_flights, p4_songs, p6_found, p6_statistics,
+    )
+    return {f.__name__: f for f in own} | {f"itemsets_k{k}": _level(k) for k in range(3, 8)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.oracle_sql()
