@@ -18,14 +18,17 @@ FREQUENCY_CELLS = 1 << 16
 #: Most bits of the filter of tokens of the other table, whatever the tables' sizes.
 FILTER_BITS = 1 << 27
 #: Segments for each token of a class's largest record.
-SEGMENTS_A_TOKEN = 4
+SEGMENTS_A_TOKEN = 8
+#: Most tokens of a segment whose subsets are indexed; records with a fuller one are hard.
+SUBSET_TOKENS = 6
 #: Growth of the record sizes in a class.
 CLASS_GROWTH = 1.2
+#: Copied classes up to this number are broadcast, beyond it shuffled.
+BROADCAST_CLASSES = 200_000
 SLICE_VALUES = 500_000
-_EXACT, _DELETED = 11, 13
 
 
-def size_classes(most: int) -> np.ndarray:
+def size_classes(most: int = 1 << 40) -> np.ndarray:
     """First size of each class; the last entry is above `most`."""
     bounds = [1]
     while bounds[-1] <= most:
@@ -33,113 +36,156 @@ def size_classes(most: int) -> np.ndarray:
     return np.array(bounds, dtype=np.int64)
 
 
-def difference_budget(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Most values that only one of two sets of sizes a and b may hold if common / united reaches `threshold`."""
-    return np.floor((1 - threshold) / (1 + threshold) * (a + b) + 1e-9).astype(np.int64)
+BOUNDS = size_classes()
 
 
-def _segments(record: np.ndarray, token: np.ndarray, size_class: np.ndarray, last_size: np.ndarray):
-    """Occurrences in order of their segment: (order, starts, tokens per segment, sum of the segment's token hashes, key base)."""
-    count = (last_size * SEGMENTS_A_TOKEN).astype(np.uint64)
+def least_common(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Fewest values that sets of sizes a and b share if common / united reaches `threshold`."""
+    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
+
+
+def _segments(record: np.ndarray, token: np.ndarray, size_class: np.ndarray):
+    """Occurrences in order of their segment: (order, starts, tokens per segment, token hashes, key base).
+
+    The universe of a class has SEGMENTS_A_TOKEN segments for each token of its largest record.
+    """
+    count = ((BOUNDS[size_class + 1] - 1) * SEGMENTS_A_TOKEN).astype(np.uint64)
     segment = (mix64(token, 3) % count).astype(np.int64)
-    order = np.lexsort((segment, size_class, record))
-    starts, sizes = runs(record[order], size_class[order], segment[order])
-    hashed = mix64(token[order], 5)
-    total = np.add.reduceat(hashed, starts) if len(starts) else hashed
-    base = mix64(segment[order] * 1024 + size_class[order], 8)
-    return order, starts, sizes, hashed, total, base
+    order = np.lexsort((segment, record))
+    starts, sizes = runs(record[order], segment[order])
+    return order, starts, sizes, mix64(token[order], 5), mix64(segment[order] * 1024 + size_class[order], 8)
 
 
-def _keys(total: np.ndarray, base: np.ndarray, kind: int) -> np.ndarray:
-    return mix64((mix64(total.view(np.int64), kind) ^ base).view(np.int64), kind).view(np.int64)
+def _key(total: np.ndarray, base: np.ndarray) -> np.ndarray:
+    return mix64((mix64(total.view(np.int64), 11) ^ base).view(np.int64), 13).view(np.int64)
 
 
-def _bitmap(record: np.ndarray, token: np.ndarray, records: int) -> np.ndarray:
-    """64 bits per record; sets differ at least in as many values as their bits."""
-    out = np.zeros(records, dtype=np.uint64)
-    np.bitwise_or.at(out, record, np.uint64(1) << (mix64(token, 9) % np.uint64(64)))
-    return out.view(np.int64)
+def _class_of(size: np.ndarray) -> np.ndarray:
+    return np.searchsorted(BOUNDS, size, "right") - 1
 
 
-def index_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(record, key) for each segment that holds a token, and for each token left out of a segment that holds several."""
-    own = np.searchsorted(bounds, size[record], "right") - 1
-    order, starts, sizes, hashed, total, base = _segments(record, token, own, bounds[own + 1] - 1)
-    exact = record[order][starts], _keys(total, base[starts], _EXACT)
-    several = np.repeat(sizes > 1, sizes)
-    left_out = _keys((np.repeat(total, sizes) - hashed)[several], base[several], _DELETED)
-    return np.concatenate([exact[0], record[order][several]]), np.concatenate([exact[1], left_out])
+def index_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, key) for each segment of the record's class that holds tokens, with those of the segment less one token, and less more
+    where it holds more than two; and the records with a segment too full for that."""
+    order, starts, sizes, hashed, base = _segments(record, token, _class_of(size)[record])
+    found = []
+    for n in np.unique(sizes):
+        if n > SUBSET_TOKENS:
+            continue
+        at = starts[sizes == n]
+        own = hashed[at[:, None] + np.arange(n)[None, :]]
+        for subset in range(1, 1 << int(n)):
+            part = [i for i in range(n) if subset >> i & 1]
+            found.append((record[order][at], _key(own[:, part].sum(axis=1, dtype=np.uint64), base[at])))
+    full = np.unique(record[order][starts[sizes > SUBSET_TOKENS]])
+    return *(np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(2)), full
 
 
-def probe_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray, bounds: np.ndarray, threshold: float, frequency: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, key) that find every similar record at least as large, and the records for which segments don't suffice.
+def probe_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray, threshold: float, frequency: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, key) that find every similar record at least as large that isn't too full; and the records with too few segments.
 
-    For each class that a partner may be in, the sets differ in at most H values. A segment that is probed exactly and doesn't match
-    takes one difference, one probed with one-deletion signatures two; so probes worth H + 1 can't all fail. The segments of the
-    rarest tokens are probed exactly; if there are too few, those of several tokens are probed with deletions too.
+    In each class that a partner may be in, at most M of the record's values are missing from the partner. A missing value spoils one
+    segment; in each other one the partner holds the record's tokens, perhaps with more, and has indexed them. So of M + 1 segments
+    one matches; those of the rarest tokens are probed.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
     lacking: list[np.ndarray] = []
-    first = np.searchsorted(bounds, size, "right") - 1
-    largest = np.floor(size / threshold + 1e-9).astype(np.int64)
-    last = np.searchsorted(bounds, largest, "right") - 1
+    first = _class_of(size)
+    last = _class_of(np.floor(size / threshold + 1e-9).astype(np.int64))
     for step in range(int((last - first).max()) + 1 if len(size) else 0):
-        goes = first + step <= last
-        pick = goes[record]
+        pick = (first + step <= last)[record]
         rec, tok = record[pick], token[pick]
         if not len(rec):
             continue
         own = (first + step)[rec]
-        partner = np.minimum(bounds[own + 1] - 1, largest[rec])
-        budget = difference_budget(size[rec], partner, threshold)
-        order, starts, sizes, hashed, total, base = _segments(rec, tok, own, bounds[own + 1] - 1)
-        of, need = rec[order][starts], budget[order][starts] + 1
-        cost = np.minimum.reduceat(frequency[(mix64(tok[order], 21) % np.uint64(len(frequency))).astype(np.int64)], starts) if frequency is not None else np.zeros(len(starts), dtype=np.int64)
+        order, starts, sizes, hashed, base = _segments(rec, tok, own)
+        of = rec[order][starts]
+        least = np.maximum(BOUNDS[own[order][starts]], size[of])
+        need = np.maximum(size[of] - least_common(size[of], least, threshold), 0) + 1
+        cost = np.zeros(len(starts), dtype=np.int64)
+        if frequency is not None:
+            cost = np.minimum.reduceat(frequency[(mix64(tok[order], 21) % np.uint64(len(frequency))).astype(np.int64)], starts)
         rank_order = np.lexsort((-sizes, cost, of))
-        _, per = runs(of[rank_order])
+        _, per = runs(of)
         rank = np.empty(len(of), dtype=np.int64)
         rank[rank_order] = within(per)
-        have = np.repeat(per, per)  # `of` is sorted, so runs in rank_order are those of `of`
-        short = have < need
-        several = sizes > 1
-        worth = np.repeat(np.add.reduceat(1 + several.astype(np.int64), np.cumsum(per) - per), per)
-        lacking.append(np.unique(of[worth < need]))
-        probe = short | (rank < need)
-        found.append((of[probe], _keys(total[probe], base[starts][probe], _EXACT)))
-        deep = short & several
-        if deep.any():
-            found.append((of[deep], _keys(total[deep], base[starts][deep], _DELETED)))
-            each = np.repeat(deep, sizes)
-            found.append((rec[order][each], _keys((np.repeat(total, sizes) - hashed)[each], base[each], _EXACT)))
-    pair = tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(2))
-    return pair[0], pair[1], np.unique(np.concatenate(lacking)) if lacking else np.zeros(0, dtype=np.int64)
-
-
-def _records(df: DataFrame, id_col: str, values: str, least: int) -> DataFrame:
-    """id, items (distinct, sorted), tokens (items as 64-bit integers); null values, ids and records below `least` left out."""
-    kept = df.select(F.col(id_col).cast("bigint").alias("id"), F.array_sort(F.array_distinct(F.array_compact(values))).alias("items"))
-    kept = kept.filter(F.col("id").isNotNull() & (F.size("items") >= max(least, 1)))
-    whole = kept.schema["items"].dataType.elementType.simpleString() == "bigint"
-    return kept.withColumn("tokens", F.col("items") if whole else F.transform("items", lambda x: F.xxhash64(x)))
-
-
-def _filter_of(records: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the tokens that `records` have, two a token, as one array of `bits` / 8 bytes."""
+        lacking.append(np.unique(of[np.repeat(per, per) < need]))
+        probe = rank < need
+        found.append((of[probe], _key(np.add.reduceat(hashed, starts)[probe], base[starts][probe])))
+    return *(np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(2)), np.unique(np.concatenate(lacking)) if lacking else np.zeros(0, dtype=np.int64)
+
+
+def _bitmap(record: np.ndarray, token: np.ndarray, records: int) -> np.ndarray:
+    """64 bits per record; sets differ at least in as many values as their bits."""
+    out = np.zeros(records, dtype=np.uint64)
+    np.bitwise_or.at(out, record, np.uint64(1) << (mix64(token, 9) % np.uint64(64)))
+    return out.view(np.int64)
+
+
+def _raw(df: DataFrame, id_col: str, values: str) -> DataFrame:
+    """id and tokens: the values, or 64-bit hashes of values that aren't integers."""
+    kind = df.schema[values].dataType.elementType.simpleString()
+    tokens = F.col(values) if kind == "bigint" else F.transform(values, (lambda x: x.cast("bigint")) if kind in ("int", "smallint", "tinyint") else (lambda x: F.when(x.isNotNull(), F.xxhash64(x))))
+    return df.select(F.col(id_col).cast("bigint").alias("id"), tokens.alias("tokens")).filter(F.col("id").isNotNull() & (F.size("tokens") > 0))
+
+
+RECORD = "id bigint, h1 bigint, h2 bigint, n int, bits bigint, hard boolean, tokens array<bigint>"
+
+
+def _records(raw: DataFrame, least: int, threshold: float, other: tuple | None = None) -> DataFrame:
+    """Records with distinct, sorted tokens, two hashes of them and `hard`, which marks those that segments don't suffice for.
+
+    Left out are records below `least` values, and those of which less than `threshold` is in the filter of the `other` table.
+    """
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, row, token in slices(batch.column(1), SLICE_VALUES):
+                order = np.lexsort((token, row))
+                once, _ = runs(row[order], token[order])
+                row, token = row[order][once], token[order][once]
+                size = np.bincount(row)
+                good = size >= max(least, 1)
+                if other is not None:
+                    bits, whole = other[0], other[1].value
+                    there = np.ones(len(token), dtype=bool)
+                    for seed in (31, 32):
+                        at = (mix64(token, seed) % np.uint64(bits)).astype(np.int64)
+                        there &= (whole[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    good &= np.bincount(row, there, len(size)) >= size * threshold - 1e-9
+                kept = good[row]
+                token, place = token[kept], np.cumsum(good) - 1
+                row, who, size = place[row[kept]], np.flatnonzero(good), size[good]
+                if not len(who):
+                    continue
+                starts = np.cumsum(size) - size
+                h1, h2 = (np.add.reduceat(mix64(token, seed), starts).view(np.int64) for seed in (41, 42))
+                hard = np.zeros(len(who), dtype=bool)
+                hard[index_signatures(row, token, size)[2]] = True
+                hard[probe_signatures(row, token, size, threshold, None)[2]] = True
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(token)).astype(np.int32)), pa.array(token))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + who]), pa.array(h1), pa.array(h2), pa.array(size.astype(np.int32)), pa.array(_bitmap(row, token, len(who))), pa.array(hard), lists], names=["id", "h1", "h2", "n", "bits", "hard", "tokens"])
+
+    return raw.mapInArrow(normal, RECORD)
+
+
+def _filter_of(records: DataFrame, values: int) -> tuple:
+    """(bits, broadcast bytes) of a filter of the tokens that `records` have, two bits a token."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << math.ceil(math.log2(max(values, 1) * 16))))
     parts = 64
     part_bytes = bits // 8 // parts
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits // 8, dtype=np.uint8)
-        any_rows = False
+        seen = np.zeros(bits, dtype=bool)
         for batch in batches:
             for _, _, token in slices(batch.column(0), SLICE_VALUES):
-                any_rows = True
                 for seed in (31, 32):
-                    at = (mix64(token, seed) % np.uint64(bits)).astype(np.int64)
-                    np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        if any_rows:
+                    seen[(mix64(token, seed) % np.uint64(bits)).astype(np.int64)] = True
+        if seen.any():
+            packed = np.packbits(seen, bitorder="little")
             for i in range(parts):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([seen[i * part_bytes : (i + 1) * part_bytes].tobytes()], pa.binary())], names=["part", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed[i * part_bytes : (i + 1) * part_bytes].tobytes()], pa.binary())], names=["part", "bytes"])
 
     def united(group: pa.Table) -> pa.Table:
         out = np.zeros(part_bytes, dtype=np.uint8)
@@ -151,30 +197,58 @@ def _filter_of(records: DataFrame, bits: int) -> np.ndarray:
     whole = np.zeros(bits // 8, dtype=np.uint8)
     for r in rows:  # 64 rows, `bits` bits together
         whole[r.part * part_bytes : (r.part + 1) * part_bytes] = np.frombuffer(bytes(r.bytes), dtype=np.uint8)
-    return whole
+    return bits, records.sparkSession.sparkContext.broadcast(whole)  # at most FILTER_BITS / 8 bytes
 
 
-def _matchable(records: DataFrame, other: DataFrame, threshold: float, values: int) -> DataFrame:
-    """`records` whose tokens are to a share of `threshold` in the filter of `other`; none with a similar partner is lost."""
-    bits = min(FILTER_BITS, max(1 << 16, 1 << math.ceil(math.log2(max(values, 1) * 16))))
-    spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(_filter_of(other, bits))  # at most FILTER_BITS / 8 bytes
-    names = records.columns
+def _frequencies(content: DataFrame) -> np.ndarray:
+    """How many tokens fall into each cell of a table of fixed size."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = shared.value
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
         for batch in batches:
-            hits, sizes = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
-            for first, row, token in slices(batch.column(names.index("tokens")), SLICE_VALUES):
-                there = np.ones(len(token), dtype=bool)
-                for seed in (31, 32):
-                    at = (mix64(token, seed) % np.uint64(bits)).astype(np.int64)
-                    there &= (whole[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                np.add.at(hits, first + row, there)
-                np.add.at(sizes, first + row, 1)
-            yield batch.filter(pa.array(hits >= sizes * threshold - 1e-9))
+            for _, _, token in slices(batch.column(0), SLICE_VALUES):
+                own += np.bincount((mix64(token, 21) % np.uint64(FREQUENCY_CELLS)).astype(np.int64), minlength=FREQUENCY_CELLS)
+        used = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own[used])], names=["cell", "n"])
 
-    return records.mapInArrow(keep, records.schema)
+    out = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
+    for r in content.select("tokens").mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # FREQUENCY_CELLS rows at most
+        out[r.cell] = r.n
+    return out
+
+
+def _signatures(content: DataFrame, probe: bool, threshold: float, frequency: np.ndarray) -> DataFrame:
+    """key, rec (the first content hash), side, n, bits for the index or the probes."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rec, side, n, bits = (batch.column(i).to_numpy() for i in range(4))
+            for first, row, token in slices(batch.column(4), SLICE_VALUES):
+                size = np.bincount(row)
+                who, key, _ = probe_signatures(row, token, size, threshold, frequency) if probe else index_signatures(row, token, size)
+                who = first + who
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rec[who]), pa.array(side[who]), pa.array(n[who]), pa.array(bits[who])], names=["key", "rec", "side", "n", "bits"])
+
+    return content.select(F.col("h1").alias("rec"), "side", "n", "bits", "tokens").mapInArrow(sign, "key bigint, rec bigint, side int, n int, bits bigint")
+
+
+def _by_rarest(content: DataFrame, threshold: float, frequency: np.ndarray) -> DataFrame:
+    """Candidates of the hard records with all others: of a hard record's values at most n - ceil(threshold * n) are missing from a
+    similar one, so one of so many and one more of its rarest is there."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rec, side, n, bits = (batch.column(i).to_numpy() for i in range(4))
+            for first, row, token in slices(batch.column(4), SLICE_VALUES):
+                cost = frequency[(mix64(token, 21) % np.uint64(len(frequency))).astype(np.int64)]
+                order = np.lexsort((token, cost, row))
+                _, size = runs(row[order])
+                need = size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1
+                at = order[within(size) < np.repeat(need, size)]
+                who = first + row[at]
+                yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(rec[who]), pa.array(side[who]), pa.array(n[who]), pa.array(bits[who])], names=["key", "rec", "side", "n", "bits"])
+
+    return content.filter("hard").select(F.col("h1").alias("rec"), "side", "n", "bits", "tokens").mapInArrow(rarest, "key bigint, rec bigint, side int, n int, bits bigint")
 
 
 def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1) -> DataFrame:
@@ -183,110 +257,60 @@ def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFr
     Columns: id_a, id_b, similarity. Within one table id_a < id_b; between two id_a is of `left` and id_b of `right`. Records of fewer
     than `least` distinct values make no case, nor do null ids, null or empty arrays; null values are ignored. Rows of one id with the
     same values are one record; rows of one id with different values are each compared, and a pair counts once. Other columns are
-    ignored, empty tables give no rows. Exact: no pair is lost or capped.
+    ignored, empty tables give no rows. No pair is lost or capped, each is verified on its values; values that aren't integers are
+    compared by 64-bit hashes.
 
     Records of the same values are one class; classes are joined and expanded to their members at the end. Of two tables, records
     that can't reach the threshold because too few of their values occur in the other are left out first, by a filter of bounded
-    size. The universe of values is hashed into segments, their number and the classes of sizes depending on length; the smaller
-    record of a pair probes the segments of its rarest values in the larger's class, see `probe_signatures`. Records for which that
-    can't suffice (several values in one segment throughout) are joined by their rarest values instead.
+    size. The universe of values is hashed into segments, whose number depends on the size class; the smaller record of a pair probes
+    the segments of its rarest values in the larger's class, which has indexed its segments, whole and with tokens deleted, see
+    `probe_signatures`. Records that this can't suffice for (many tokens in one segment) are joined by their rarest values instead.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-
-    sides = [_records(left, left_id, left_values, least)]
-    if right is not None:
-        sides.append(_records(right, right_id, right_values, least))
-        n = [s.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0] for s in sides]
+    if right is None:
+        rows = _records(_raw(left, left_id, left_values), least, threshold).withColumn("side", F.lit(0))
+    else:
+        raw = [_raw(left, left_id, left_values), _raw(right, right_id, right_values)]
+        n = [r.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0] for r in raw]
         few, many = (0, 1) if n[0] <= n[1] else (1, 0)
-        sides[many] = staged(_matchable(sides[many], sides[few], threshold, n[few]), "matchable")
-        sides[few] = _matchable(sides[few], sides[many], threshold, n[few])
-    rows = sides[0].withColumn("side", F.lit(0))
-    if right is not None:
-        rows = rows.unionByName(sides[1].withColumn("side", F.lit(1)))
-    rows = rows.withColumns({"h1": F.xxhash64("tokens"), "h2": F.xxhash64(F.lit(77), "tokens"), "n": F.size("tokens")})
+        large = staged(_records(raw[many], least, threshold, _filter_of(raw[few], n[few])).withColumn("side", F.lit(many)), "large")
+        rest = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = large.unionByName(_records(raw[few], least, threshold, _filter_of(large, rest)).withColumn("side", F.lit(few)))
     rows = staged(rows, "records")
-    members = rows.select("side", "h1", "h2", "n", "id").distinct()
-    content = rows.groupBy("side", "h1", "h2", "n").agg(F.first("items").alias("items"), F.first("tokens").alias("tokens"))
-    content = staged(content.withColumn("rec", F.monotonically_increasing_id()), "classes")
-    frequency = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
-        for batch in batches:
-            for _, _, token in slices(batch.column(0), SLICE_VALUES):
-                own += np.bincount((mix64(token, 21) % np.uint64(FREQUENCY_CELLS)).astype(np.int64), minlength=FREQUENCY_CELLS)
-        used = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own[used])], names=["cell", "n"])
-
-    for r in content.select("tokens").mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # FREQUENCY_CELLS rows at most
-        frequency[r.cell] = r.n
-    most = content.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    bounds = size_classes(int(most / threshold) + 2)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rec_id, side = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int8)
-            for first, row, token in slices(batch.column(2), SLICE_VALUES):
-                records = int(row.max()) + 1
-                size = np.bincount(row, minlength=records)
-                bits = _bitmap(row, token, records)
-                indexed = index_signatures(row, token, size, bounds)
-                probed = probe_signatures(row, token, size, bounds, threshold, frequency)
-                for role, (who, key) in enumerate((indexed, probed[:2], (probed[2], np.zeros(len(probed[2]), dtype=np.int64)))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), role, dtype=np.int8)), pa.array(key), pa.array(rec_id[first + who]), pa.array(side[first + who]), pa.array(size[who].astype(np.int32)), pa.array(bits[who])], names=["role", "key", "rec", "side", "n", "bits"])
-
-    signed = content.select("rec", "side", "tokens").mapInArrow(sign, "role tinyint, key bigint, rec bigint, side tinyint, n int, bits bigint")
-    signed = staged(signed, "signatures")
-    part = lambda role, x: signed.filter(F.col("role") == role).select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rec", "side", "n", "bits")])
-    cross = F.col("side_a") != F.col("side_b") if right is not None else F.lit(True)
-    size_ok = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rec_a") != F.col("rec_b")))
-    size_ok = size_ok & (F.col("n_a") >= F.col("n_b") * F.lit(threshold) - 1e-9)
+    keys = ["side", "h1", "h2", "n"]
+    several = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*keys), "copied")
+    copied = several.count()
+    content = rows
+    if copied:
+        listed = F.broadcast(several) if copied <= BROADCAST_CLASSES else several
+        content = rows.join(listed, keys, "left_anti").unionByName(rows.join(listed, keys, "left_semi").dropDuplicates(keys).select(*rows.columns))
+    content = staged(content.drop("id"), "classes")
+    frequency = _frequencies(content)
+    index, probes = _signatures(content, False, threshold, frequency), _signatures(content, True, threshold, frequency)
+    named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rec", "side", "n", "bits")])
+    cross = (F.col("side_a") != F.col("side_b")) if right is not None else (F.col("rec_a") != F.col("rec_b"))
     budget = F.floor((F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
-    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= budget
-    found = part(1, "a").join(part(0, "b"), "key").filter(cross & size_ok & near)
-    pairs = found.select(F.least("rec_a", "rec_b").alias("ra"), F.greatest("rec_a", "rec_b").alias("rb"))
-    lacking = signed.filter("role = 2").select("rec").distinct()
-    if lacking.take(1):
-        pairs = pairs.unionByName(_by_rarest(content, lacking, threshold, frequency, right is not None))
+    near = cross & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= budget) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9)
+    found = named(probes, "a").join(named(index, "b"), "key").filter(near & (F.col("n_a") <= F.col("n_b")))
+    pair = (F.when(F.col("side_a") <= F.col("side_b"), F.col("rec_a")).otherwise(F.col("rec_b")), F.when(F.col("side_a") <= F.col("side_b"), F.col("rec_b")).otherwise(F.col("rec_a"))) if right is not None else (F.least("rec_a", "rec_b"), F.greatest("rec_a", "rec_b"))
+    pairs = found.select(pair[0].alias("ra"), pair[1].alias("rb"))
+    if content.filter("hard").take(1):
+        every = content.select(F.explode("tokens").alias("key"), F.col("h1").alias("rec"), "side", "n", "bits")
+        pairs = pairs.unionByName(named(_by_rarest(content, threshold, frequency), "a").join(named(every, "b"), "key").filter(near).select(pair[0].alias("ra"), pair[1].alias("rb")))
     pairs = pairs.distinct()
-    a = content.select(F.col("rec").alias("ra"), F.col("side").alias("sa"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    b = content.select(F.col("rec").alias("rb"), F.col("side").alias("sb"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    common = F.size(F.array_intersect("ia", "ib"))
-    checked = pairs.join(a, "ra").join(b, "rb").withColumn("_c", common).withColumn("similarity", F.col("_c") / (F.col("na") + F.col("nb") - F.col("_c")))
-    checked = checked.filter(F.col("similarity") >= threshold).select("sa", "a1", "a2", "na", "sb", "b1", "b2", "nb", "similarity")
-    own = lambda x, s: members.select(F.col("side").alias(f"s{x}"), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"n{x}"), F.col("id").alias(f"id_{s}"))
-    between = checked.join(own("a", "x"), ["sa", "a1", "a2", "na"]).join(own("b", "y"), ["sb", "b1", "b2", "nb"])
+    own_side = lambda x, s: content.filter(F.col("side") == s).select(F.col("h1").alias(f"r{x}"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    checked = pairs.join(own_side("a", 0), "ra").join(own_side("b", 0 if right is None else 1), "rb").withColumn("_c", F.size(F.array_intersect("ta", "tb")))
+    checked = checked.withColumn("similarity", F.col("_c") / (F.col("na") + F.col("nb") - F.col("_c"))).filter(F.col("similarity") >= threshold)
+    checked = checked.select("ra", "a2", "na", "rb", "b2", "nb", "similarity")
+    members = rows.select(*keys, "id").distinct()
+    own = lambda x, s: members.filter(F.col("side") == s).select(F.col("h1").alias(f"r{x}"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"n{x}"), F.col("id").alias(f"id_{x}"))
+    between = checked.join(own("a", 0), ["ra", "a2", "na"]).join(own("b", 0 if right is None else 1), ["rb", "b2", "nb"])
+    out = between.select("id_a", "id_b", "similarity")
     if right is None:
-        out = between.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "similarity")
-        keys = ["side", "h1", "h2", "n"]
-        several = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*keys)
-        copies = members.join(several, keys, "left_semi")
-        twins = copies.withColumnRenamed("id", "id_a").join(copies.withColumnRenamed("id", "id_b"), keys).filter("id_a < id_b")
-        out = out.filter("id_a < id_b").unionByName(twins.select("id_a", "id_b", F.lit(1.0).alias("similarity")))
-    else:
-        first = F.col("sa") == 0
-        out = between.select(F.when(first, F.col("id_x")).otherwise(F.col("id_y")).alias("id_a"), F.when(first, F.col("id_y")).otherwise(F.col("id_x")).alias("id_b"), "similarity")
+        out = out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity").filter("id_a < id_b")
+        if copied:
+            copies = members.join(listed, keys, "left_semi")
+            twins = copies.withColumnRenamed("id", "id_a").join(copies.withColumnRenamed("id", "id_b"), keys).filter("id_a < id_b")
+            out = out.unionByName(twins.select("id_a", "id_b", F.lit(1.0).alias("similarity")))
     return out.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
-
-
-def _by_rarest(content: DataFrame, lacking: DataFrame, threshold: float, frequency: np.ndarray, two: bool) -> DataFrame:
-    """Candidates of the records in `lacking` with all others: a similar record has one of the rarest n - ceil(threshold n) + 1 values."""
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, row, token in slices(batch.column(2), SLICE_VALUES):
-                cost = frequency[(mix64(token, 21) % np.uint64(len(frequency))).astype(np.int64)]
-                order = np.lexsort((token, cost, row))
-                _, n = runs(row[order])
-                need = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
-                at = order[within(n) < np.repeat(need, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[at]]), pa.array(sides[first + row[at]]), pa.array(token[at])], names=["rec_a", "side_a", "token"])
-
-    probes = content.join(lacking, "rec", "left_semi").select("rec", "side", "tokens").mapInArrow(prefix, "rec_a bigint, side_a int, token bigint")
-    every = content.select(F.col("rec").alias("rec_b"), F.col("side").alias("side_b"), F.explode("tokens").alias("token"))
-    joined = probes.join(every, "token").filter("rec_a != rec_b")
-    if two:
-        joined = joined.filter("side_a != side_b")
-    return joined.select(F.least("rec_a", "rec_b").alias("ra"), F.greatest("rec_a", "rec_b").alias("rb"))
