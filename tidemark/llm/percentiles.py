@@ -64,6 +64,8 @@ def select_percentiles(summary: DataFrame, keys: list[str], percents: dict[str,
     """
     if bits % digit_bits:
         raise ValueError("bits must be a multiple of digit_bits")
+    if {"n", "prefix"} & {*keys} or {"n", *keys} & {*percents}:
+        raise ValueError("n and prefix are names of the summary's own columns")
     spark = summary.sparkSession
     summary = staged(summary, "summary")
     own = [f"_g{i}" for i in range(len(keys))]
