@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
+from ..runtime import staged
 
 FEATURES = ("hotness", "loudness", "beat")
 Center = tuple[float, float, float]
@@ -62,22 +66,41 @@ def update(assigned: DataFrame) -> DataFrame:
 
 
 def _round(points: DataFrame, runs: list[Run], before: dict[tuple[int, int], dict[int, Center]]) -> tuple[dict, dict]:
-    """New centres with sizes, and the points that changed their cluster since `before`, of each run: one scan, one row per run and cluster."""
-    entries = []
-    for i, run in enumerate(runs):
+    """New centres with sizes, and the points that changed their cluster since `before`, of each run: one scan, which the tasks end with
+    one row per run and cluster."""
+    plans = []
+    for run in runs:
         old = before.get((run.k, run.initial))
-        now = nearest(run.centers)
-        entries.append(F.struct(F.lit(i).alias("run"), now.alias("cluster"), (nearest(old) != now if old else F.lit(True)).alias("moved")))
-    rows = points.select(*FEATURES, F.explode(F.array(*entries)).alias("e")).groupBy("e.run", "e.cluster").agg(*[F.avg(f).alias(f) for f in FEATURES], F.count(F.lit(1)).alias("n"), F.count_if("e.moved").alias("moved")).collect()
+        plans.append((sorted(run.centers), np.array([run.centers[c] for c in sorted(run.centers)]), sorted(old) if old else None, np.array([old[c] for c in sorted(old)]) if old else None))
+
+    def closest(x: np.ndarray, names: list[int], centers: np.ndarray) -> np.ndarray:
+        d = [np.sqrt((x[:, 0] - c[0]) ** 2 + (x[:, 1] - c[1]) ** 2 + (x[:, 2] - c[2]) ** 2) for c in centers]
+        return np.array(names)[np.argmin(d, axis=0)]  # the first, hence lowest, among equals
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            for i, (names, centers, old_names, old_centers) in enumerate(plans):
+                now = closest(x, names, centers)
+                moved = now != closest(x, old_names, old_centers) if old_names else np.ones(len(x), dtype=bool)
+                for c in np.unique(now):
+                    own = now == c
+                    sums[i, int(c)] = sums.get((i, int(c)), np.zeros(5)) + np.array([*x[own].sum(axis=0), own.sum(), moved[own].sum()])
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in sums], pa.int32()) for j in range(2)] + [pa.array([v[j] for v in sums.values()]) for j in range(5)], names=["run", "cluster", *"xyz", "n", "moved"])
+
+    rows = points.select(*FEATURES).mapInArrow(partial, "run int, cluster int, x double, y double, z double, n double, moved double").groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in (*"xyz", "n", "moved")]).collect()
     found: dict = {i: {} for i in range(len(runs))}
     moved = dict.fromkeys(range(len(runs)), 0)
     for r in rows:
-        found[r.run][r.cluster] = (tuple(r[f] for f in FEATURES), r.n)
-        moved[r.run] += r.moved
+        found[r.run][r.cluster] = ((r.x / r.n, r.y / r.n, r.z / r.n), int(r.n))
+        moved[r.run] += int(r.moved)
     return found, moved
 
 
 def _advance(points: DataFrame, runs: list[Run], rounds: int, finished) -> list[Run]:
+    points = staged(points.select(*FEATURES), "points")
     before: dict[tuple[int, int], dict[int, Center]] = {}
     for _ in range(rounds):
         active = [r for r in runs if not r.done]
