@@ -99,20 +99,20 @@ def tile_products(sets: np.ndarray, degree: np.ndarray, width: int, batch: int)
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(3))  # type: ignore[return-value]
 
 
-def _multiply(tile_a: int, tile_b: int, sets: np.ndarray, ids: np.ndarray, hot_degree: int) -> tuple[np.ndarray, ...]:
-    """(set_a, set_b, n) of a block, and (set, id) of its hot identifiers."""
+def _multiply(sets: np.ndarray, ids: np.ndarray, hot_degree: int, known: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(set_a, set_b, n) of a block, and (set, id) of its hot identifiers: those of too high a degree, or `known` if given."""
     order = np.lexsort((sets, ids))
     sets, ids = sets[order], ids[order]
     once, _ = runs(ids, sets)
     sets, ids = sets[once], ids[once]
     starts, degree = runs(ids)
     each = np.repeat(degree, degree)
-    hot = each > hot_degree
+    hot = each > hot_degree if known is None else np.isin(ids, known)
     light = (each > 1) & ~hot
-    degree = degree[(degree > 1) & (degree <= hot_degree)]
+    degree = degree[(degree > 1) & ~hot[starts]]
     names, local = np.unique(sets[light], return_inverse=True)
     found = []
-    for least, most, width, batch in ((2, 32, 64, 256), (33, hot_degree, 512, 8)):
+    for least, most, width, batch in ((2, 32, 64, 256), (33, hot_degree + 1, 512, 8)):
         pick = (degree >= least) & (degree <= most)
         if not pick.any():
             continue
@@ -130,13 +130,41 @@ def _multiply(tile_a: int, tile_b: int, sets: np.ndarray, ids: np.ndarray, hot_d
     return a, b, n, hot_sets, hot_ids
 
 
+def hot_identifiers(blocks: DataFrame, hot_degree: int, tiles: int) -> DataFrame:
+    """block, id of the identifiers that more than hot_degree / tiles sets of one tile have; all of more than `hot_degree` sets are there.
+
+    Only needed with several tiles of sets, where no task sees all sets of an identifier.
+    """
+
+    def count(group: pa.Table) -> pa.Table:
+        sets, ids = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in group.column(c).to_pylist()]) for c in ("sets", "ids"))
+        order = np.lexsort((sets, ids))
+        once, _ = runs(ids[order], sets[order])
+        ids = ids[order][once]
+        starts, degree = runs(ids)
+        found = ids[starts[degree > hot_degree // tiles]]
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()] * len(found), pa.int32()), "id": pa.array(found)})
+
+    return blocks.filter("tile_a = tile_b").groupBy("block", "tile_a").applyInArrow(count, "block int, id bigint").distinct()
+
+
 def block_products(blocks: DataFrame, hot_degree: int = HOT_DEGREE, tiles: int = 1) -> DataFrame:
     """Partial co-occurrences (a, b, n) of each block with a < b; and rows (a set, b hot identifier, n 0)."""
+    if tiles > 1:
+        blocks = staged(blocks, "blocks")
+        hot = hot_identifiers(blocks, hot_degree, tiles)
+        pairs = [F.struct(F.lit(x).alias("tile_a"), F.lit(y).alias("tile_b")) for x in range(tiles) for y in range(x, tiles)]
+        # a hot identifier goes along with each pair of tiles, marked by a null set
+        marks = hot.select("block", F.explode(F.array(*pairs)).alias("t"), "id").groupBy("block", "t").agg(F.collect_list("id").alias("hot")).select("block", "t.tile_a", "t.tile_b", "hot")
+        blocks = blocks.withColumn("hot", F.lit(None).cast("array<bigint>")).unionByName(marks.withColumns({"sets": F.lit(None).cast("binary"), "ids": F.lit(None).cast("binary")}))
+    else:
+        blocks = blocks.withColumn("hot", F.lit(None).cast("array<bigint>"))
 
     def multiply(key: tuple, group: pa.Table) -> pa.Table:
         tile_a, tile_b = key[1].as_py(), key[2].as_py()
-        sets, ids = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in group.column(c).to_pylist()]) for c in ("sets", "ids"))
-        a, b, n, hot_sets, hot_ids = _multiply(tile_a, tile_b, sets, ids, hot_degree)
+        sets, ids = (np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=np.int64) for x in group.column(c).to_pylist() if x is not None]]) for c in ("sets", "ids"))
+        known = np.array([x for hot in group.column("hot").to_pylist() if hot for x in hot], dtype=np.int64) if tiles > 1 else None
+        a, b, n, hot_sets, hot_ids = _multiply(sets, ids, hot_degree, known)
         if tiles > 1:
             ta, tb = ((mix64(x, 7) % np.uint64(tiles)).astype(np.int64) for x in (a, b))
             own = (np.minimum(ta, tb) == tile_a) & (np.maximum(ta, tb) == tile_b)
