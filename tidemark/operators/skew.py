@@ -39,10 +39,11 @@ def key_statistics(df: DataFrame, key: str, value: str, spread: list[str], named
     Null and NaN values count as rows but not in total and mean, which are null for keys without values. A null key is a key of its
     own and can't be heavy by name. Repeated rows count. An empty table gives no rows.
     """
-    known = F.when(~F.isnan(F.col(value)), F.col(value))
+    rows_of = df.select(F.col(key).alias("key_value"), F.col(value).alias("_value"), *[F.col(c).alias(f"_spread{i}") for i, c in enumerate(spread)])
+    known = F.when(~F.isnan("_value"), F.col("_value"))
     partials = {"n": F.count(F.lit(1)), "n_value": F.count(known), "total": F.sum(known)}
-    per = salted_aggregate(df.select(key, value, *[c for c in spread if c not in (key, value)]), key, partials, {"n": F.sum("n"), "n_value": F.sum("n_value"), "total": F.sum("total")}, spread, min(named_share, 0.01), salts)
+    per = salted_aggregate(rows_of, "key_value", partials, {"n": F.sum("n"), "n_value": F.sum("n_value"), "total": F.sum("total")}, [f"_spread{i}" for i in range(len(spread))], min(named_share, 0.01), salts)
     rows = per.agg(F.sum("n").alias("_rows"))
     joined = per.crossJoin(F.broadcast(rows))  # rows: one row
-    heavy = F.col(key).isNotNull() & (F.col("n") * 10_000 >= F.col("_rows") * round(named_share * 10_000))
-    return joined.select(F.col(key).alias("key_value"), "n", "n_value", "total", (F.col("total") / F.nullif(F.col("n_value"), F.lit(0))).alias("mean"), heavy.alias("is_heavy"))
+    heavy = F.col("key_value").isNotNull() & (F.col("n") * 10_000 >= F.col("_rows") * round(named_share * 10_000))
+    return joined.select("key_value", "n", "n_value", "total", (F.col("total") / F.nullif(F.col("n_value"), F.lit(0))).alias("mean"), heavy.alias("is_heavy"))
