@@ -28,9 +28,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Shared listeners of the pairs that p2_found names, with both sizes."""
-    items = overlaps.set_overlaps(table(spark, d, "frequent_items"), "set_id", "users", 0.5)
-    pairs = overlaps.set_overlaps(table(spark, d, "frequent_pairs"), "set_id", "commons", 0.5)
+    """Shared listeners, with both sizes, of all pairs that share at least a quarter of the smaller set."""
+    items = overlaps.set_overlaps(table(spark, d, "frequent_items"), "set_id", "users", 0.25)
+    pairs = overlaps.set_overlaps(table(spark, d, "frequent_pairs"), "set_id", "commons", 0.25)
     named = lambda df, name: df.select(F.lit(name).alias("field_name"), "*")
     return named(items, "users").unionByName(named(pairs, "commons"))
 
@@ -49,6 +49,17 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return scores.select(F.col("item_a").alias("song_a"), F.col("item_b").alias("song_b"), "n_ab", F.round("lift", 4).alias("lift"))
 
 
+def p3_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """p3_found by two batches: each song's first row loads the table, its further rows then change baskets."""
+    lists = table(spark, d, "itemset_user_set")
+    earliest = lists.groupBy("itemset").agg(F.min("list_id").alias("list_id"))
+    held = lambda rows: rows.filter("itemset is not null").select(F.explode("users").alias("basket"), F.col("itemset").alias("item")).filter("basket is not null")
+    old = held(lists.join(earliest, ["itemset", "list_id"], "left_semi"))
+    built = cooccurrence.PairTable(spark, f"{shared_folder(spark)}/tidemark/pairs-{uuid.uuid4().hex}")
+    built.apply(cooccurrence.changes_between(old.limit(0), old)).apply(cooccurrence.changes_between(old, held(lists)))
+    return built.scores(20, 5.0).select(F.col("item_a").alias("song_a"), F.col("item_b").alias("song_b"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     songs = simjoin.similar_pairs(table(spark, d, "user_transactions"), "tx_id", "songs", threshold=0.6, least=5)
     users = simjoin.similar_pairs(table(spark, d, "frequent_items"), "set_id", "users", table(spark, d, "frequent_pairs"), "set_id", "commons", threshold=0.6)
@@ -102,5 +113,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_percentiles, p2_found, p2_overlaps, p3_found, p3_pairs, p5_found, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
+    own = (p1_percentiles, p2_found, p2_overlaps, p3_found, p3_pairs, p3_incremental, p5_found, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
     return {f.__name__: f for f in own}

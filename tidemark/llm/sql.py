@@ -12,17 +12,20 @@ FROM r GROUP BY unique_carrier, month
 """
 
 
-def _overlaps(name: str, source: str, column: str) -> str:
+def _overlaps(name: str, source: str, column: str, share: float) -> str:
     return f"""
 {name}_m AS (SELECT DISTINCT set_id, unnest({column}) AS id FROM {source}),
 {name}_i AS (SELECT * FROM {name}_m WHERE set_id IS NOT NULL AND id IS NOT NULL),
 {name}_s AS (SELECT set_id, count(*) AS n FROM {name}_i GROUP BY set_id),
 {name}_p AS (SELECT a.set_id AS set_a, b.set_id AS set_b, count(*) AS shared FROM {name}_i a JOIN {name}_i b ON a.id = b.id AND a.set_id < b.set_id GROUP BY 1, 2),
 {name} AS (SELECT '{column}' AS field_name, set_a, set_b, shared, CAST(x.n AS int) AS size_a, CAST(y.n AS int) AS size_b
-           FROM {name}_p JOIN {name}_s x ON x.set_id = set_a JOIN {name}_s y ON y.set_id = set_b WHERE shared >= 0.5 * least(x.n, y.n))"""
+           FROM {name}_p JOIN {name}_s x ON x.set_id = set_a JOIN {name}_s y ON y.set_id = set_b WHERE shared >= {share} * least(x.n, y.n))"""
 
 
-P2 = f"WITH {_overlaps('u', 'frequent_items', 'users')}, {_overlaps('c', 'frequent_pairs', 'commons')} SELECT * FROM u UNION ALL SELECT * FROM c"
+
+def _both(share: float) -> str:
+    return f"WITH {_overlaps('u', 'frequent_items', 'users', share)}, {_overlaps('c', 'frequent_pairs', 'commons', share)} SELECT * FROM u UNION ALL SELECT * FROM c"
+
 
 P3 = """
 WITH l AS (SELECT DISTINCT itemset AS song, unnest(users) AS u FROM itemset_user_set WHERE itemset IS NOT NULL),
@@ -52,9 +55,10 @@ SELECT 'songs' AS field_name, id_a, id_b FROM s UNION ALL SELECT 'users', id_a,
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_percentiles": P1,
-        "p2_found": f"SELECT field_name, set_a, set_b FROM ({P2})",
-        "p2_overlaps": P2,
+        "p2_found": f"SELECT field_name, set_a, set_b FROM ({_both(0.5)})",
+        "p2_overlaps": _both(0.25),
         "p3_found": P3_FOUND,
         "p3_pairs": P3_PAIRS,
+        "p3_incremental": P3_FOUND,
         "p5_found": P5,
     }

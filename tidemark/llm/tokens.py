@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,29 @@ TOKENIZER_FILE = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_
 # fixed value: the splitting pattern that belongs to the vocabulary
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Texts of more characters are given to the library in parts, as it fails on very long runs of white space.
+PART_CHARS = 100_000
+#: A longer run of white space is cut, which may change the number of its tokens by one for each cut.
+BLANK_CHARS = 20_000
+_WORD_END = re.compile(r"(?<=\S)(?=\s)")
+_BLANKS = re.compile(r"\s{%d,}" % BLANK_CHARS)
+
+
+def parts(text: str) -> Iterator[str]:
+    """`text` cut at ends of words, where the splitting pattern always ends a match, so the parts have the text's own tokens."""
+    start = 0
+    while start < len(text):
+        found = _WORD_END.search(text, start + PART_CHARS) if len(text) - start > PART_CHARS else None
+        end = found.start() if found else len(text)
+        at = start
+        for run in _BLANKS.finditer(text, start, end):
+            for cut in range(run.start(), run.end(), BLANK_CHARS):
+                if cut > at:
+                    yield text[at:cut]
+                    at = cut
+        yield text[at:end]
+        start = end
+
 
 def tokenizer(path: str):
     """(encode function, bytes of each token id), loaded once in a worker: it is kept with the library, as this function may be a copy."""
@@ -29,7 +53,8 @@ def tokenizer(path: str):
         for token, rank in ranks.items():
             sizes[rank] = len(token)
         own = tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        loaded[path] = own.encode_ordinary, sizes
+        whole = own.encode_ordinary
+        loaded[path] = (lambda text: whole(text) if len(text) <= PART_CHARS else [t for part in parts(text) for t in whole(part)]), sizes
     return loaded[path]
 
 
