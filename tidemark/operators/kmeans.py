@@ -137,9 +137,9 @@ def until_close(points: DataFrame, starts: dict[tuple[int, int], dict[int, Cente
     return _advance(points, [Run(k, initial, dict(c), {}) for (k, initial), c in sorted(starts.items())], rounds, close)
 
 
-def centers_frame(points: DataFrame, runs: list[Run], digits: int = 6) -> DataFrame:
+def centers_frame(points: DataFrame, runs: list[Run]) -> DataFrame:
     """k, initial, cluster, the features, n."""
-    rows = [(r.k, r.initial, c, *[round(x, digits) for x in center], r.sizes.get(c, 0)) for r in runs for c, center in sorted(r.centers.items())]
+    rows = [(r.k, r.initial, c, *center, r.sizes.get(c, 0)) for r in runs for c, center in sorted(r.centers.items())]
     return points.sparkSession.createDataFrame(rows, "k int, initial int, cluster int, hotness double, loudness double, beat double, n bigint")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rendered
 from ..operators import carrier_month, flights, itemsets, kmeans, skew, wordcount
-from ..runtime import table
+from ..runtime import shared_folder, table
+from ..sinks import writers
 from ..sources import readers, records
 from . import sql
 
@@ -68,6 +70,55 @@ def flight_key_scan(spark: SparkSession, d: str) -> DataFrame:
     return carrier_month.key_scan(carrier_month.keyed_flights(_flights(spark, d)))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def wide_table_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed flights written as a table partitioned by year, and a year read from it."""
+    path = _scratch(spark, "wide")
+    writers.write_wide_table(carrier_month.keyed_flights(_flights(spark, d)), path)
+    return carrier_month.key_scan(readers.wide_table(spark, path))
+
+
+def letter_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Word counts written to a folder for each letter and read again."""
+    path = _scratch(spark, "letters")
+    writers.write_by_letter(wc_counts(spark, d), path)
+    return spark.read.parquet(path).select("letter", "word", "cnt")
+
+
+def text_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly means written as lines of text and read again."""
+    path = _scratch(spark, "text")
+    writers.write_text(carrier_month_flat(spark, d).filter("carrier is not null"), path)
+    return readers.text_lines(spark, path)
+
+
+def transactions_tabs(spark: SparkSession, d: str) -> DataFrame:
+    """Listens written with tabs, read again, and gathered to transactions."""
+    path = _scratch(spark, "tabs")
+    writers.write_tabs(table(spark, d, "listens").select("user_key", "song").filter("user_key is not null and song is not null"), path)
+    return itemsets.transactions(readers.tab_separated(spark, path)).select("user", "id", rendered(F.col("songs")).alias("songs"))
+
+
+def csv_carrier_month(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly means of the flight lines that load."""
+    rows = records.loaded(table(spark, d, "flight_lines"), records.FLIGHTS)
+    named = {"year": "Year", "month": "Month", "flight_date": "FlightDate", "carrier": "UniqueCarrier", "origin": "Origin", "dest": "Dest", "dep_time": "DepTime", "arr_time": "ArrTime", "arr_delay": "ArrDelayMinutes", "cancelled": "Cancelled", "diverted": "Diverted"}
+    return carrier_month.monthly_means(rows.select(F.col("line_id").alias("row_id"), *[F.col(old).alias(new) for new, old in named.items()]))
+
+
+def csv_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the song lines that load; an empty feature is 0."""
+    return readers.points_of(records.loaded(table(spark, d, "song_lines"), records.SONGS), "song_id", "artist_hotness", "loudness", "beat")
+
+
+def tail_supports(spark: SparkSession, d: str) -> DataFrame:
+    """Supports of all items, repeated elements counted and not: item, support, users."""
+    return _held(spark, d).groupBy("item").agg(F.count(F.lit(1)).alias("support"), F.countDistinct("uid").alias("users"))
+
+
 def transactions(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.transactions(table(spark, d, "listens"), "user_key", "song").select("user", "id", rendered(F.col("songs")).alias("songs"))
 
@@ -119,6 +170,13 @@ def kmeans_seeds(spark: SparkSession, d: str) -> DataFrame:
     return points.sparkSession.createDataFrame([(c, *x) for c, x in starts[4, 0].items()], "cluster int, hotness double, loudness double, beat double")
 
 
+def kmeans_sampled_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds from a sample of the points; a twentieth, as the smallest table has few rows."""
+    points = _points(spark, d)
+    seeds = kmeans.sampled_seeds(points, 4, 0.05 if points.count() > 200 else 0.5)
+    return points.sparkSession.createDataFrame([(c, *x) for c, x in seeds.items()], "cluster int, hotness double, loudness double, beat double")
+
+
 def kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
     points, starts = _starts(spark, d, [(4, 0)])
     return kmeans.assign(points, starts[4, 0]).select("id", "cluster")
@@ -131,7 +189,8 @@ def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
 
 def kmeans_threshold(spark: SparkSession, d: str) -> DataFrame:
     points, starts = _starts(spark, d, GRID)
-    return kmeans.centers_frame(points, kmeans.until_close(points, starts), 4)
+    found = kmeans.centers_frame(points, kmeans.until_close(points, starts))
+    return found.select("k", "initial", "cluster", *[F.round(f, 6).alias(f) for f in kmeans.FEATURES], "n")
 
 
 def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +235,7 @@ def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         wc_counts, wc_by_letter, flight_pairs, flight_avg_filter_first, flight_avg_join_first_v1, flight_avg_join_first_v2, flight_count_avg, connections_count_avg, carrier_month_flat,
-        carrier_month_nested, flight_row_keys, flight_key_scan, transactions, frequent_items, frequent_pairs, itemsets_unpruned_k3, kmeans_seeds, kmeans_assign, kmeans_step,
+        carrier_month_nested, flight_row_keys, flight_key_scan, wide_table_scan, letter_sink, text_sink, transactions_tabs, csv_carrier_month, csv_points, tail_supports, kmeans_sampled_seeds, transactions, frequent_items, frequent_pairs, itemsets_unpruned_k3, kmeans_seeds, kmeans_assign, kmeans_step,
         kmeans_threshold, kmeans_sweep, p4_found, p4_rejected, p4_flights, p4_songs, p6_found, p6_statistics,
     )
     return {f.__name__: f for f in own} | {f"itemsets_k{k}": _level(k) for k in range(3, 8)}

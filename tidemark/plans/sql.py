@@ -46,6 +46,8 @@ def _levels(last: int, prune: bool = True) -> str:
     return out + f"\nSELECT list_aggregate(items, 'string_agg', ',') AS itemset, len(users) AS support FROM l{last}"
 
 
+TRANSACTIONS = """SELECT user_key AS "user", row_number() OVER (ORDER BY user_key) + 1 AS id, string_agg(song, ',' ORDER BY song) AS songs FROM listens WHERE user_key IS NOT NULL AND song IS NOT NULL GROUP BY user_key"""
+
 POINTS = """
 WITH p AS (SELECT song_id AS id, coalesce(CASE WHEN isnan(artist_hotness) THEN NULL ELSE artist_hotness END, 0) AS hotness,
                   coalesce(CASE WHEN isnan(loudness) THEN NULL ELSE loudness END, 0) AS loudness, coalesce(CASE WHEN isnan(beat) THEN NULL ELSE beat END, 0) AS beat FROM song_features),
@@ -85,6 +87,42 @@ FROM (SELECT {0}, CASE WHEN isnan({1}) THEN NULL ELSE {1} END AS v FROM {2}) GRO
 STATISTICS = _STATISTICS.format("unique_carrier", "arr_delay_minutes", "flights") + " UNION ALL " + _STATISTICS.format("dummy", "total_delay", "connections")
 
 
+_GRID = """
+WITH RECURSIVE p0 AS (SELECT song_id AS id, coalesce(CASE WHEN isnan(artist_hotness) THEN NULL ELSE artist_hotness END, 0) AS h, coalesce(CASE WHEN isnan(loudness) THEN NULL ELSE loudness END, 0) AS l,
+                 coalesce(CASE WHEN isnan(beat) THEN NULL ELSE beat END, 0) AS b FROM song_features),
+     p AS (SELECT row_number() OVER (ORDER BY id, h, l, b) AS row_no, count(*) OVER () AS n, h, l, b FROM p0),
+     s AS (SELECT k, i, c, h, l, b FROM (SELECT unnest([4, 5, 6, 7]) AS k), (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS c), p WHERE c <= k AND row_no = (i + c - 1) * 7919 % n + 1),
+"""
+_NEAREST = "arg_min(r.c, (sqrt((p.h - r.h) * (p.h - r.h) + (p.l - r.l) * (p.l - r.l) + (p.b - r.b) * (p.b - r.b)), r.c))"
+
+
+def _sweep(rounds: int) -> str:
+    """Sizes of the clusters after so many rounds, which is more than any run needs to come to rest."""
+    return f"""{_GRID}
+     r(round, k, i, c, h, l, b, size) AS (
+       SELECT 0, k, i, c, h, l, b, 0::bigint FROM s
+       UNION ALL
+       SELECT round + 1, k, i, c, avg(h), avg(l), avg(b), count(*) FROM (
+         SELECT r.round, r.k, r.i, p.row_no, {_NEAREST} AS c, any_value(p.h) AS h, any_value(p.l) AS l, any_value(p.b) AS b
+         FROM r, p WHERE r.round < {rounds} GROUP BY r.round, r.k, r.i, p.row_no) GROUP BY round, k, i, c)
+SELECT CAST(k AS int) AS k, CAST(i AS int) AS initial, string_agg(size || ' ', '' ORDER BY c) AS sizes FROM r WHERE round = {rounds} GROUP BY k, i
+"""
+
+
+THRESHOLD = f"""{_GRID}
+     r(round, k, i, c, h, l, b, size, done) AS (
+       SELECT 0, k, i, c, h, l, b, 0::bigint, false FROM s
+       UNION ALL
+       SELECT round + 1, k, i, c, h, l, b, size, round > 0 AND max(shift) OVER (PARTITION BY k, i) <= 1.0 AND count(*) OVER (PARTITION BY k, i) = old FROM (
+         SELECT round, k, i, c, avg(ph) AS h, avg(pl) AS l, avg(pb) AS b, count(*) AS size, any_value(old) AS old,
+                sqrt((avg(ph) - any_value(m.h)) * (avg(ph) - any_value(m.h)) + (avg(pl) - any_value(m.l)) * (avg(pl) - any_value(m.l)) + (avg(pb) - any_value(m.b)) * (avg(pb) - any_value(m.b))) AS shift
+         FROM (SELECT r.round, r.k, r.i, p.row_no, {_NEAREST} AS c, arg_min({{'h': r.h, 'l': r.l, 'b': r.b}}, (sqrt((p.h - r.h) * (p.h - r.h) + (p.l - r.l) * (p.l - r.l) + (p.b - r.b) * (p.b - r.b)), r.c)) AS m,
+                      any_value(p.h) AS ph, any_value(p.l) AS pl, any_value(p.b) AS pb, count(*) AS old
+               FROM r, p WHERE NOT r.done AND r.round < 200 GROUP BY r.round, r.k, r.i, p.row_no) GROUP BY round, k, i, c))
+SELECT CAST(k AS int) AS k, CAST(i AS int) AS initial, CAST(c AS int) AS cluster, round(h, 6) AS hotness, round(l, 6) AS loudness, round(b, 6) AS beat, size AS n FROM r WHERE done
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "wc_counts": WORDS + "SELECT word, cnt FROM c",
@@ -99,7 +137,17 @@ def oracle_sql() -> dict[str, str]:
         "carrier_month_nested": _MONTHS + "SELECT carrier, coalesce(string_agg('(' || month || ',' || avg_delay || '),', '' ORDER BY month), '') AS delays FROM m GROUP BY carrier",
         "flight_row_keys": _KEYED + "SELECT row_key, year, carrier, month, row_id FROM k",
         "flight_key_scan": _KEYED + "SELECT row_key, arr_delay FROM k WHERE year = 2008 AND cancelled = 0 AND arr_delay IS NOT NULL",
-        "transactions": """SELECT user_key AS "user", row_number() OVER (ORDER BY user_key) + 1 AS id, string_agg(song, ',' ORDER BY song) AS songs FROM listens WHERE user_key IS NOT NULL AND song IS NOT NULL GROUP BY user_key""",
+        "wide_table_scan": _KEYED + "SELECT row_key, arr_delay FROM k WHERE year = 2008 AND cancelled = 0 AND arr_delay IS NOT NULL",
+        "letter_sink": WORDS + "SELECT lower(word[1]) AS letter, word, cnt FROM c",
+        "text_sink": _MONTHS + "SELECT coalesce(carrier, '') || chr(9) || coalesce(CAST(month AS varchar), '') || chr(9) || avg_delay AS value FROM m WHERE carrier IS NOT NULL",
+        "transactions_tabs": TRANSACTIONS,
+        "csv_carrier_month": RECORDS
+        + "SELECT v[7] AS carrier, CAST(v[3] AS int) AS month, CAST(ceil(sum(try_cast(v[38] AS double)) / count(try_cast(v[38] AS double))) AS int) AS avg_delay FROM flight_lines_f WHERE reason IS NULL AND v[1] = '2008' AND v[42] = '0.00' AND v[38] <> '' GROUP BY 1, 2",
+        "csv_points": RECORDS + "SELECT v[1] AS id, coalesce(try_cast(v[2] AS double), 0) AS hotness, coalesce(try_cast(v[8] AS double), 0) AS loudness, coalesce(try_cast(v[9] AS double), 0) AS beat FROM song_lines_f WHERE reason IS NULL",
+        "tail_supports": ITEMS + "SELECT item, count(*) AS support, count(DISTINCT uid) AS users FROM h GROUP BY item",
+        "kmeans_sweep": _sweep(90),
+        "kmeans_threshold": THRESHOLD,
+        "transactions": TRANSACTIONS,
         "frequent_items": ITEMS + "SELECT item, support, list_aggregate(users, 'string_agg', ',') AS users FROM i",
         "frequent_pairs": ITEMS + "SELECT list_aggregate(items, 'string_agg', ',') AS pair, len(users) AS support, list_aggregate(users, 'string_agg', ',') AS users FROM l2",
         **{f"itemsets_k{k}": _levels(k) for k in range(3, 8)},

@@ -21,10 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read, for tables that cut lineage.
 
-    `spark.checkpoint.dir` names it. Where it is unset (tests on a local master) a temporary folder is made and set; on a
-    cluster an unset value is an error, as a machine-local folder would not be shared.
+    `spark.checkpoint.dir` names it, or else the checkpoint folder that was set on the context. Where there is neither (tests on a
+    local master) a temporary folder is made and set; on a cluster that is an error, as a machine-local folder would not be shared.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and spark.sparkContext.applicationId not in _STAGED:
+        own = spark.sparkContext.getCheckpointDir()
     if own:
         return own.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -46,7 +48,7 @@ def _remove_local(folder: str) -> None:
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """`df` written to the shared folder as Parquet and read again: its lineage ends there and a lost executor costs nothing.
 
-    The files stay until `release` or, below a folder made by `shared_folder`, the end of the process.
+    The files stay until `release`, `clear` or, below a folder made by `shared_folder`, the end of the process.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
@@ -60,9 +62,17 @@ def release(df: DataFrame) -> None:
     """Delete the files of a frame that `staged` returned; later reads of it fail."""
     path = getattr(df, "_staged_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application staged, once its results are written."""
+    _delete(spark, f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def parallelism(spark: SparkSession) -> int:
