@@ -58,6 +58,25 @@ def test_ranges_agree_with_the_whole(spark):
         assert abs(found.n_tokens - len(ENCODE(text))) <= len(text) // size * 2
 
 
+@pytest.mark.parametrize(("block_ranges", "spread"), [(1, None), (3, None), (3, 4)])
+def test_blocks_give_the_same_ranges(spark, block_ranges, spread):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(1, cues(rng, 200)), (2, "x" * 1000), (3, "я" * 5001)], "doc_id bigint, text string")
+    whole = sorted(map(tuple, splitting.ranges(df, 1, 1000, 1).collect()))
+    assert sorted(map(tuple, splitting.ranges(df, 1, 1000, 1, block_ranges, spread).collect())) == whole
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for doc, no, start, left, n_chars, part in whole:
+        assert n_chars == len(texts[doc]) and start == 1000 * no and part == texts[doc][start - left : start + 1000 + 128]
+
+
+def test_giant_text(spark):
+    text = cues(random.Random(3), 60_000)
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    rows = splitting.split_texts(df, spread=8).collect()
+    assert len(text) > 4_000_000
+    check(text, rows, 2000, 100)
+
+
 def test_limit(spark):
     df = spark.createDataFrame([(1, " a" * 2000), (2, " a" * 2001), (3, " a" * 2001)], "doc_id bigint, text string")
     found = splitting.oversized(splitting.boundary_tables(splitting.ranges(df, 2001)), 2000)

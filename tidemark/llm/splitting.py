@@ -14,6 +14,8 @@ from .tokens import TOKENIZER_FILE, tokenizer
 
 #: Characters of a range. A text is cut into ranges before anything looks into it.
 RANGE_CHARS = 65_536
+#: Ranges of a block. Longer texts are cut into blocks before ranges.
+BLOCK_RANGES = 64
 #: No token of the vocabulary is longer; a halo of `overlap` times this holds `overlap` tokens.
 TOKEN_CHARS = 128
 #: A boundary table keeps, for each kind, the last boundary in each run of so many tokens.
@@ -27,17 +29,29 @@ _SENTENCE = re.compile(r"[.!?…。！？][\"')\]»”’]*\s+")
 CUE, LINE, SENTENCE, TOKEN = 0, 1, 2, 3
 
 
-def ranges(docs: DataFrame, least_bytes: int, range_chars: int = RANGE_CHARS, overlap: int = 100) -> DataFrame:
+def ranges(docs: DataFrame, least_bytes: int, range_chars: int = RANGE_CHARS, overlap: int = 100, block_ranges: int = BLOCK_RANGES, spread: int | None = None) -> DataFrame:
     """Rows doc_id, range_no, start, left (characters of halo before it), n_chars (of the text), part: a slice with its halos.
 
     Texts of fewer than `least_bytes` UTF-8 bytes are left out: a byte-level vocabulary can't give them more tokens than bytes.
+    Texts of more than `block_ranges` ranges are cut into blocks first, as the cost of cutting goes with the place of the cut. With
+    `spread` blocks are dealt to so many tasks, so that several work on one text; it moves all text once, so it is for tables with
+    texts of hundreds of megabytes.
     """
     halo = overlap * TOKEN_CHARS
-    long = docs.select("doc_id", "text").filter(F.octet_length("text") >= least_bytes)
-    sliced = long.select("doc_id", "text", F.char_length("text").alias("n_chars"), F.explode(F.sequence(F.lit(0), ((F.char_length("text") - 1) / range_chars).cast("int"))).alias("range_no"))
+    block_chars = range_chars * block_ranges
+    number = lambda size, each: F.sequence(F.lit(0), F.greatest(((size - 1) / each).cast("int"), F.lit(0)))
+    long = docs.select("doc_id", "text").filter(F.octet_length("text") >= least_bytes).withColumn("n_chars", F.char_length("text"))
+    blocks = long.withColumn("block", F.explode(number(F.col("n_chars"), block_chars)))
+    from_char = F.greatest(F.col("block").cast("bigint") * block_chars - halo, F.lit(0))
+    cut = F.substring("text", (from_char + 1).cast("int"), F.lit(block_chars + 2 * halo))
+    blocks = blocks.select("doc_id", "block", "n_chars", from_char.alias("from"), F.when(F.col("n_chars") > block_chars, cut).otherwise(F.col("text")).alias("text"))
+    if spread:
+        blocks = blocks.repartition(spread, "doc_id", "block")
+    inside = F.least(F.col("n_chars") - F.col("block").cast("bigint") * block_chars, F.lit(block_chars))
+    rows = blocks.withColumn("_r", F.explode(number(inside, range_chars))).withColumn("range_no", F.col("block") * block_ranges + F.col("_r"))
     start = F.col("range_no").cast("bigint") * range_chars
     left = F.least(start, F.lit(halo))
-    return sliced.select("doc_id", "range_no", start.alias("start"), left.cast("int").alias("left"), "n_chars", F.substring("text", (start - left + 1).cast("int"), (left + range_chars + halo).cast("int")).alias("part"))
+    return rows.select("doc_id", "range_no", start.alias("start"), left.cast("int").alias("left"), "n_chars", F.substring("text", (start - left - F.col("from") + 1).cast("int"), (left + range_chars + halo).cast("int")).alias("part"))
 
 
 def _token_ends(part: str, encode, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,18 +166,18 @@ def cut_points(kind: np.ndarray, token: np.ndarray, at: np.ndarray, back: np.nda
     return pieces
 
 
-def split_texts(docs: DataFrame, limit: int = 2000, overlap: int = 100, range_chars: int = RANGE_CHARS, tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
+def split_texts(docs: DataFrame, limit: int = 2000, overlap: int = 100, range_chars: int = RANGE_CHARS, tokenizer_file: str = TOKENIZER_FILE, spread: int | None = None) -> DataFrame:
     """Pieces of the texts of more than `limit` tokens: doc_id, piece_no, start, end, n_tokens, ends_at, piece.
 
     Pieces are below `limit` tokens and end between cues, lines or sentences where the text has such within reach; each begins with
     the last `overlap` tokens of the one before (some bytes more where a token ends inside a character). Cutting the overlaps away
     and joining the rest gives the text back. start and end are character offsets from 0, `ends_at` is cue, line, sentence, token or
-    end. Null, empty and small texts give no rows. doc_id has to be unique; rows of one id that differ are not told apart.
+    end. Null, empty and small texts and null ids give no rows. doc_id has to be unique; rows of one id that differ are not told apart.
 
     Only boundary tables are grouped by text, at most a few hundred bytes per thousand tokens, and a text is at most one cell of
     2 GB, so a group has a bound; the text itself stays where it is until pieces are cut out of it by offset.
     """
-    tables = boundary_tables(ranges(docs, limit + 1, range_chars, overlap), range_chars, overlap, tokenizer_file)
+    tables = boundary_tables(ranges(docs, limit + 1, range_chars, overlap, spread=spread), range_chars, overlap, tokenizer_file)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def plan(group: pa.Table) -> pa.Table:
