@@ -15,9 +15,18 @@ FEATURES = ["artist_hotness", "loudness", "beat"]
 PERCENTS = {"p50": 50, "p90": 90, "p99": 99}
 
 
+def _year(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "flights").filter("yearstring = '2008'").select("unique_carrier", F.expr("try_cast(monthstring as int)").alias("month"), "flight_date", "arr_delay_minutes")
+
+
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    flights = table(spark, d, "flights").filter("yearstring = '2008'").select("unique_carrier", F.expr("try_cast(monthstring as int)").alias("month"), "flight_date", "arr_delay_minutes")
-    return percentiles.percentiles(flights, ["unique_carrier", "month"], "arr_delay_minutes", PERCENTS, part="flight_date")
+    return percentiles.percentiles(_year(spark, d), ["unique_carrier", "month"], "arr_delay_minutes", PERCENTS, part="flight_date")
+
+
+def p1_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The summaries per day that p1_percentiles merges, with the smallest value of each prefix."""
+    found = percentiles.digit_histogram(_year(spark, d), ["unique_carrier", "month", "flight_date"], "arr_delay_minutes", 36)
+    return found.select("unique_carrier", "month", "flight_date", percentiles.coded_value(F.shiftleft("prefix", 28)).alias("value"), "n")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,5 +122,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_percentiles, p2_found, p2_overlaps, p3_found, p3_pairs, p3_incremental, p5_found, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
+    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p3_found, p3_pairs, p3_incremental, p5_found, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
     return {f.__name__: f for f in own}

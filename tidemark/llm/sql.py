@@ -11,6 +11,12 @@ SELECT unique_carrier, month, max(n) AS n, max(CASE WHEN rn = (n * 50 + 99) // 1
 FROM r GROUP BY unique_carrier, month
 """
 
+# delays are whole numbers, which 36 leading bits hold
+P1_SUMMARIES = """
+SELECT unique_carrier, try_cast(monthstring AS int) AS month, flight_date, arr_delay_minutes AS value, count(*) AS n FROM flights
+WHERE yearstring = '2008' AND arr_delay_minutes IS NOT NULL AND NOT isnan(arr_delay_minutes) GROUP BY 1, 2, 3, 4
+"""
+
 
 def _overlaps(name: str, source: str, column: str, share: float) -> str:
     return f"""
@@ -55,6 +61,7 @@ SELECT 'songs' AS field_name, id_a, id_b FROM s UNION ALL SELECT 'users', id_a,
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_percentiles": P1,
+        "p1_summaries": P1_SUMMARIES,
         "p2_found": f"SELECT field_name, set_a, set_b FROM ({_both(0.5)})",
         "p2_overlaps": _both(0.25),
         "p3_found": P3_FOUND,
