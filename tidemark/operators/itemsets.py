@@ -48,8 +48,10 @@ def frequent_items(held: DataFrame, above: int = 50) -> DataFrame:
 def frequent_pairs(singles: DataFrame, above: int = 10) -> DataFrame:
     """items (two, ascending), users (distinct, sorted) for the pairs of frequent items that more than `above` users hold.
 
-    Pairs come from users that hold both, so pairs without a common user aren't formed. Their numbers are counted first.
+    Pairs come from users that hold both, so pairs without a common user aren't formed. Their numbers are counted first. The frequent
+    items are staged, as both sides of both joins read them.
     """
+    singles = staged(singles.select("items", "users"), "singles")
     held = singles.select(F.col("items")[0].alias("item"), F.explode("users").alias("uid"))
     a, b = held.withColumnRenamed("item", "a"), held.withColumnRenamed("item", "b")
     met = a.join(b, "uid").filter("a < b")
@@ -80,7 +82,7 @@ def next_level(level: DataFrame, size: int, least: int = 1, prune: bool = True)
 
 def itemsets(pairs: DataFrame, last: int = 7, least: int = 1, prune: bool = True) -> dict[int, DataFrame]:
     """Levels 3..last; after an empty level the rest are empty too. Each level is staged, which ends its lineage."""
-    level, out = pairs, {}
+    level, out = staged(pairs, "level2"), {}
     for size in range(3, last + 1):
         level = staged(next_level(level, size, least, prune), f"level{size}")
         out[size] = level
