@@ -60,6 +60,21 @@ def test_between_tables(spark, least):
     assert len(rows) == len(set(rows)) and set(rows) == expected
 
 
+def test_links_count_every_similar_record(spark):
+    rng = random.Random(9)
+    sets = records(rng, 120, 60, 8)
+    sets |= {200 + i: set(sets[i % 7]) for i in range(40)}
+    rows = {r.id: r for r in simjoin.record_links(frame(spark, sets), "id", "songs", threshold=0.6).collect()}
+    assert set(rows) == set(sets)
+    for i, x in sets.items():
+        same = [j for j, y in sets.items() if x == y]
+        assert (rows[i].class_id, rows[i].copies) == (min(same), len(same))
+        assert rows[i].links == sum(similar(x, y, 0.6) for j, y in sets.items() if j != i)
+    right = {i: x for i, x in sets.items() if i % 3 == 0}
+    for r in simjoin.record_links(frame(spark, sets), "id", "songs", frame(spark, right), "id", "songs", threshold=0.6).collect():
+        assert r.links == sum(similar(sets[r.id], y, 0.6) for y in (sets if r.side else right).values())
+
+
 def test_strings_copies_and_empty(spark):
     df = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(20)] + [(50, ["a", "b", "c", "d"]), (51, ["x"])], "id int, songs array<string>")
     rows = {(r.id_a, r.id_b): r.similarity for r in simjoin.similar_pairs(df, "id", "songs", threshold=0.6).collect()}

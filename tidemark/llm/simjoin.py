@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -251,21 +252,21 @@ def _by_rarest(content: DataFrame, threshold: float, frequency: np.ndarray) -> D
     return content.filter("hard").select(F.col("h1").alias("rec"), "side", "n", "bits", "tokens").mapInArrow(rarest, "key bigint, rec bigint, side int, n int, bits bigint")
 
 
-def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1) -> DataFrame:
-    """Pairs of records whose distinct values overlap with common / united >= `threshold`, within `left` or between two tables.
+@dataclass
+class Joined:
+    """Classes of records of equal values: `members` (side, h1, h2, n, id), `links` between similar classes (the keys of the first with a,
+    of the second with b, similarity), `copied` the keys of classes of several rows, None if there are none."""
 
-    Columns: id_a, id_b, similarity. Within one table id_a < id_b; between two id_a is of `left` and id_b of `right`. Records of fewer
-    than `least` distinct values make no case, nor do null ids, null or empty arrays; null values are ignored. Rows of one id with the
-    same values are one record; rows of one id with different values are each compared, and a pair counts once. Other columns are
-    ignored, empty tables give no rows. No pair is lost or capped, each is verified on its values; values that aren't integers are
-    compared by 64-bit hashes.
+    members: DataFrame
+    links: DataFrame
+    copied: DataFrame | None
 
-    Records of the same values are one class; classes are joined and expanded to their members at the end. Of two tables, records
-    that can't reach the threshold because too few of their values occur in the other are left out first, by a filter of bounded
-    size. The universe of values is hashed into segments, whose number depends on the size class; the smaller record of a pair probes
-    the segments of its rarest values in the larger's class, which has indexed its segments, whole and with tokens deleted, see
-    `probe_signatures`. Records that this can't suffice for (many tokens in one segment) are joined by their rarest values instead.
-    """
+
+KEYS = ["side", "h1", "h2", "n"]
+
+
+def join_classes(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1) -> Joined:
+    """Similar classes of records, see `similar_pairs`. Within one table a link is there once, its classes in any order."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     if right is None:
@@ -278,13 +279,12 @@ def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFr
         rest = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         rows = large.unionByName(_records(raw[few], least, threshold, _filter_of(large, rest)).withColumn("side", F.lit(few)))
     rows = staged(rows, "records")
-    keys = ["side", "h1", "h2", "n"]
-    several = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*keys), "copied")
+    several = staged(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*KEYS), "copied")
     copied = several.count()
     content = rows
     if copied:
         listed = F.broadcast(several) if copied <= BROADCAST_CLASSES else several
-        content = rows.join(listed, keys, "left_anti").unionByName(rows.join(listed, keys, "left_semi").dropDuplicates(keys).select(*rows.columns))
+        content = rows.join(listed, KEYS, "left_anti").unionByName(rows.join(listed, KEYS, "left_semi").dropDuplicates(KEYS).select(*rows.columns))
     content = staged(content.drop("id"), "classes")
     frequency = _frequencies(content)
     index, probes = _signatures(content, False, threshold, frequency), _signatures(content, True, threshold, frequency)
@@ -302,15 +302,54 @@ def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFr
     own_side = lambda x, s: content.filter(F.col("side") == s).select(F.col("h1").alias(f"r{x}"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     checked = pairs.join(own_side("a", 0), "ra").join(own_side("b", 0 if right is None else 1), "rb").withColumn("_c", F.size(F.array_intersect("ta", "tb")))
     checked = checked.withColumn("similarity", F.col("_c") / (F.col("na") + F.col("nb") - F.col("_c"))).filter(F.col("similarity") >= threshold)
-    checked = checked.select("ra", "a2", "na", "rb", "b2", "nb", "similarity")
-    members = rows.select(*keys, "id").distinct()
-    own = lambda x, s: members.filter(F.col("side") == s).select(F.col("h1").alias(f"r{x}"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"n{x}"), F.col("id").alias(f"id_{x}"))
-    between = checked.join(own("a", 0), ["ra", "a2", "na"]).join(own("b", 0 if right is None else 1), ["rb", "b2", "nb"])
+    last = 0 if right is None else 1
+    links = checked.select(F.lit(0).alias("side_a"), F.col("ra").alias("h1_a"), F.col("a2").alias("h2_a"), F.col("na").alias("n_a"), F.lit(last).alias("side_b"), F.col("rb").alias("h1_b"), F.col("b2").alias("h2_b"), F.col("nb").alias("n_b"), "similarity")
+    return Joined(rows.select(*KEYS, "id").distinct(), links, listed if copied else None)
+
+
+def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1) -> DataFrame:
+    """Pairs of records whose distinct values overlap with common / united >= `threshold`, within `left` or between two tables.
+
+    Columns: id_a, id_b, similarity. Within one table id_a < id_b; between two id_a is of `left` and id_b of `right`. Records of fewer
+    than `least` distinct values make no case, nor do null ids, null or empty arrays; null values are ignored. Rows of one id with the
+    same values are one record; rows of one id with different values are each compared, and a pair counts once. Other columns are
+    ignored, empty tables give no rows. No pair is lost or capped, each is verified on its values; values that aren't integers are
+    compared by 64-bit hashes.
+
+    Records of the same values are one class; classes are joined and expanded to their members at the end. Of two tables, records
+    that can't reach the threshold because too few of their values occur in the other are left out first, by a filter of bounded
+    size. The universe of values is hashed into segments, whose number depends on the size class; the smaller record of a pair probes
+    the segments of its rarest values in the larger's class, which has indexed its segments, whole and with tokens deleted, see
+    `probe_signatures`. Records that this can't suffice for (many tokens in one segment) are joined by their rarest values instead.
+    """
+    joined = join_classes(left, left_id, left_values, right, right_id, right_values, threshold, least)
+    own = lambda x: joined.members.select(*[F.col(k).alias(f"{k}_{x}") for k in KEYS], F.col("id").alias(f"id_{x}"))
+    between = joined.links.join(own("a"), [f"{k}_a" for k in KEYS]).join(own("b"), [f"{k}_b" for k in KEYS])
     out = between.select("id_a", "id_b", "similarity")
     if right is None:
         out = out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity").filter("id_a < id_b")
-        if copied:
-            copies = members.join(listed, keys, "left_semi")
-            twins = copies.withColumnRenamed("id", "id_a").join(copies.withColumnRenamed("id", "id_b"), keys).filter("id_a < id_b")
+        if joined.copied is not None:
+            copies = joined.members.join(joined.copied, KEYS, "left_semi")
+            twins = copies.withColumnRenamed("id", "id_a").join(copies.withColumnRenamed("id", "id_b"), KEYS).filter("id_a < id_b")
             out = out.unionByName(twins.select("id_a", "id_b", F.lit(1.0).alias("similarity")))
     return out.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+
+
+def record_links(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1) -> DataFrame:
+    """One row per record: side (0 of `left`, 1 of `right`), id, class_id, copies, links. Between two tables a record that the filter
+    left out, having no similar one, has no row.
+
+    class_id is the smallest id of the records of the same table with the same values, copies their number (1 without another), links
+    the number of similar records: of the other table, or of the same one without itself. Copies aren't expanded into pairs, so a
+    group of them costs no more than its rows. An id that comes with different values has a row for each. See `similar_pairs`.
+    """
+    joined = join_classes(left, left_id, left_values, right, right_id, right_values, threshold, least)
+    sizes = joined.members.groupBy(*KEYS).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    keys_of = lambda x: [F.col(f"{k}_{x}").alias(k) for k in KEYS]
+    other = lambda x: [F.col(f"{k}_{x}").alias(f"{k}_o") for k in KEYS]
+    both = joined.links.select(*keys_of("a"), *other("b")).unionByName(joined.links.select(*keys_of("b"), *other("a")))
+    theirs = sizes.select(*[F.col(k).alias(f"{k}_o") for k in KEYS], F.col("copies").alias("_theirs"))
+    counted = both.join(theirs, [f"{k}_o" for k in KEYS]).groupBy(*KEYS).agg(F.sum("_theirs").alias("_links"))
+    own = F.col("copies") - 1 if right is None else F.lit(0)
+    classes = sizes.join(counted, KEYS, "left").withColumn("links", F.coalesce("_links", F.lit(0)) + own)
+    return joined.members.join(classes, KEYS).select("side", "id", "class_id", "copies", F.col("links").cast("bigint").alias("links"))

@@ -49,13 +49,21 @@ def _similar(name: str, left: str, right: str, same: bool) -> str:
 {name} AS (SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM {name}_p JOIN {name}_l x ON x.id = a JOIN {name}_r y ON y.id = b WHERE c::double / (x.n + y.n - c) >= 0.6)"""
 
 
-P5 = f"""
+_P5 = f"""
 WITH b0 AS (SELECT DISTINCT tx_id AS id, unnest(songs) AS v FROM user_transactions), b AS (SELECT * FROM b0 WHERE v IS NOT NULL AND id IN (SELECT id FROM b0 WHERE v IS NOT NULL GROUP BY id HAVING count(*) >= 5)),
 i0 AS (SELECT DISTINCT set_id AS id, unnest(users) AS v FROM frequent_items), i AS (SELECT * FROM i0 WHERE v IS NOT NULL),
 c0 AS (SELECT DISTINCT set_id AS id, unnest(commons) AS v FROM frequent_pairs), c AS (SELECT * FROM c0 WHERE v IS NOT NULL),
 {_similar('s', 'b', 'b', True)}, {_similar('u', 'i', 'c', False)}
-SELECT 'songs' AS field_name, id_a, id_b FROM s UNION ALL SELECT 'users', id_a, id_b FROM u
 """
+P5 = _P5 + "SELECT 'songs' AS field_name, id_a, id_b FROM s UNION ALL SELECT 'users', id_a, id_b FROM u"
+
+
+def _classes(name: str, source: str, links: str, all_rows: bool) -> str:
+    return f"""SELECT '{name}' AS field_name, id, min(id) OVER (PARTITION BY held) AS class_id, coalesce(k, 0) AS links FROM (SELECT id, string_agg(v, ',' ORDER BY v) AS held FROM {source} GROUP BY id)
+    LEFT JOIN (SELECT id AS other, count(*) AS k FROM (SELECT id_a AS id FROM {links} UNION ALL SELECT id_b FROM {links}) GROUP BY id) ON other = id {'' if all_rows else 'QUALIFY links > 0'}"""
+
+
+P5_LINKS = f"{_P5} {_classes('songs', 'b', 's', True)} UNION ALL {_classes('users', 'i', 'u', False)} UNION ALL {_classes('commons', 'c', 'u', False)}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -68,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_pairs": P3_PAIRS,
         "p3_incremental": P3_FOUND,
         "p5_found": P5,
+        "p5_links": P5_LINKS,
     }
