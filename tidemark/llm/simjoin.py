@@ -24,8 +24,8 @@ SEGMENTS_A_TOKEN = 8
 SUBSET_TOKENS = 6
 #: Growth of the record sizes in a class.
 CLASS_GROWTH = 1.2
-#: Copied classes up to this number are broadcast, beyond it shuffled.
-BROADCAST_CLASSES = 200_000
+#: Tables of up to this number of short rows are broadcast, beyond it shuffled: classes of copies, and candidates.
+BROADCAST_ROWS = 200_000
 SLICE_VALUES = 500_000
 
 
@@ -219,7 +219,7 @@ def _frequencies(content: DataFrame) -> np.ndarray:
 
 
 def _signatures(content: DataFrame, probe: bool, threshold: float, frequency: np.ndarray) -> DataFrame:
-    """key, rec (the first content hash), side, n, bits for the index or the probes."""
+    """key, rec, side, n, bits for the index or the probes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +230,7 @@ def _signatures(content: DataFrame, probe: bool, threshold: float, frequency: np
                 who = first + who
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rec[who]), pa.array(side[who]), pa.array(n[who]), pa.array(bits[who])], names=["key", "rec", "side", "n", "bits"])
 
-    return content.select(F.col("h1").alias("rec"), "side", "n", "bits", "tokens").mapInArrow(sign, "key bigint, rec bigint, side int, n int, bits bigint")
+    return content.select("rec", "side", "n", "bits", "tokens").mapInArrow(sign, "key bigint, rec bigint, side int, n int, bits bigint")
 
 
 def _by_rarest(content: DataFrame, threshold: float, frequency: np.ndarray) -> DataFrame:
@@ -249,7 +249,7 @@ def _by_rarest(content: DataFrame, threshold: float, frequency: np.ndarray) -> D
                 who = first + row[at]
                 yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(rec[who]), pa.array(side[who]), pa.array(n[who]), pa.array(bits[who])], names=["key", "rec", "side", "n", "bits"])
 
-    return content.filter("hard").select(F.col("h1").alias("rec"), "side", "n", "bits", "tokens").mapInArrow(rarest, "key bigint, rec bigint, side int, n int, bits bigint")
+    return content.filter("hard").select("rec", "side", "n", "bits", "tokens").mapInArrow(rarest, "key bigint, rec bigint, side int, n int, bits bigint")
 
 
 @dataclass
@@ -278,14 +278,14 @@ def join_classes(left: DataFrame, left_id: str, left_values: str, right: DataFra
         large = staged(_records(raw[many], least, threshold, _filter_of(raw[few], n[few])).withColumn("side", F.lit(many)), "large")
         rest = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         rows = large.unionByName(_records(raw[few], least, threshold, _filter_of(large, rest)).withColumn("side", F.lit(few)))
-    rows = staged(rows, "records")
+    rows = staged(rows.withColumn("rec", F.monotonically_increasing_id()), "records")  # rec is fixed by staging
     several = staged(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*KEYS), "copied")
     copied = several.count()
     content = rows
     if copied:
-        listed = F.broadcast(several) if copied <= BROADCAST_CLASSES else several
-        content = rows.join(listed, KEYS, "left_anti").unionByName(rows.join(listed, KEYS, "left_semi").dropDuplicates(KEYS).select(*rows.columns))
-    content = staged(content.drop("id"), "classes")
+        listed = F.broadcast(several) if copied <= BROADCAST_ROWS else several
+        content = rows.join(listed, KEYS, "left_anti").unionByName(staged(rows.join(listed, KEYS, "left_semi").dropDuplicates(KEYS).select(*rows.columns), "classes"))
+    content = content.drop("id")
     frequency = _frequencies(content)
     index, probes = _signatures(content, False, threshold, frequency), _signatures(content, True, threshold, frequency)
     named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rec", "side", "n", "bits")])
@@ -296,14 +296,18 @@ def join_classes(left: DataFrame, left_id: str, left_values: str, right: DataFra
     pair = (F.when(F.col("side_a") <= F.col("side_b"), F.col("rec_a")).otherwise(F.col("rec_b")), F.when(F.col("side_a") <= F.col("side_b"), F.col("rec_b")).otherwise(F.col("rec_a"))) if right is not None else (F.least("rec_a", "rec_b"), F.greatest("rec_a", "rec_b"))
     pairs = found.select(pair[0].alias("ra"), pair[1].alias("rb"))
     if content.filter("hard").take(1):
-        every = content.select(F.explode("tokens").alias("key"), F.col("h1").alias("rec"), "side", "n", "bits")
+        every = content.select(F.explode("tokens").alias("key"), "rec", "side", "n", "bits")
         pairs = pairs.unionByName(named(_by_rarest(content, threshold, frequency), "a").join(named(every, "b"), "key").filter(near).select(pair[0].alias("ra"), pair[1].alias("rb")))
-    pairs = pairs.distinct()
-    own_side = lambda x, s: content.filter(F.col("side") == s).select(F.col("h1").alias(f"r{x}"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    checked = pairs.join(own_side("a", 0), "ra").join(own_side("b", 0 if right is None else 1), "rb").withColumn("_c", F.size(F.array_intersect("ta", "tb")))
-    checked = checked.withColumn("similarity", F.col("_c") / (F.col("na") + F.col("nb") - F.col("_c"))).filter(F.col("similarity") >= threshold)
+    pairs = staged(pairs.distinct(), "candidates")
+    needed = content
+    if pairs.count() <= BROADCAST_ROWS:
+        named_in = pairs.select(F.col("ra").alias("rec")).unionByName(pairs.select(F.col("rb").alias("rec"))).distinct()
+        needed = content.join(F.broadcast(named_in), "rec", "left_semi")  # at most twice BROADCAST_ROWS
+    own_side = lambda x, s: needed.filter(F.col("side") == s).select(F.col("rec").alias(f"r{x}"), *[F.col(k).alias(f"{k}_{x}") for k in KEYS], F.col("tokens").alias(f"t{x}"))
     last = 0 if right is None else 1
-    links = checked.select(F.lit(0).alias("side_a"), F.col("ra").alias("h1_a"), F.col("a2").alias("h2_a"), F.col("na").alias("n_a"), F.lit(last).alias("side_b"), F.col("rb").alias("h1_b"), F.col("b2").alias("h2_b"), F.col("nb").alias("n_b"), "similarity")
+    checked = pairs.join(own_side("a", 0), "ra").join(own_side("b", last), "rb").withColumn("_c", F.size(F.array_intersect("ta", "tb")))
+    checked = checked.withColumn("similarity", F.col("_c") / (F.col("n_a") + F.col("n_b") - F.col("_c"))).filter(F.col("similarity") >= threshold)
+    links = checked.select(*[f"{k}_{x}" for x in "ab" for k in KEYS], "similarity")
     return Joined(rows.select(*KEYS, "id").distinct(), links, listed if copied else None)
 
 
