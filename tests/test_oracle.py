@@ -44,4 +44,5 @@ def test_query(spark, db, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["cnt", "avg_delay"]
+    df = entry.entry(spark)
+    assert df.columns == ["carrier", "delays"] and df.count() > 0
