@@ -13,6 +13,8 @@ from . import clusters, cooccurrence, mixing, overlaps, packing, percentiles, si
 
 FEATURES = ["artist_hotness", "loudness", "beat"]
 PERCENTS = {"p50": 50, "p90": 90, "p99": 99}
+#: A share that one common identifier reaches in any set of fewer than 10^12.
+ANY_SHARE = 1e-12
 
 
 def _year(spark: SparkSession, d: str) -> DataFrame:
@@ -36,14 +38,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return named(items, "users").unionByName(named(pairs, "commons"))
 
 
-def p2_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Shared listeners, with both sizes, of all pairs that share at least a quarter of the smaller set."""
-    items = overlaps.set_overlaps(table(spark, d, "frequent_items"), "set_id", "users", 0.25)
-    pairs = overlaps.set_overlaps(table(spark, d, "frequent_pairs"), "set_id", "commons", 0.25)
+def _overlaps(spark: SparkSession, d: str, share: float) -> DataFrame:
+    items = overlaps.set_overlaps(table(spark, d, "frequent_items"), "set_id", "users", share)
+    pairs = overlaps.set_overlaps(table(spark, d, "frequent_pairs"), "set_id", "commons", share)
     named = lambda df, name: df.select(F.lit(name).alias("field_name"), "*")
     return named(items, "users").unionByName(named(pairs, "commons"))
 
 
+def p2_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Shared listeners, with both sizes, of all pairs that share at least a quarter of the smaller set; p2_all_overlaps has the others too."""
+    return _overlaps(spark, d, 0.25)
+
+
+def p2_all_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Shared listeners, with both sizes, of every pair that shares any."""
+    return _overlaps(spark, d, ANY_SHARE)
+
+
 def _pair_table(spark: SparkSession, d: str) -> cooccurrence.PairTable:
     built = cooccurrence.PairTable(spark, f"{shared_folder(spark)}/tidemark/pairs-{uuid.uuid4().hex}")
     return built.apply(cooccurrence.new_baskets(table(spark, d, "itemset_user_set")))
@@ -130,5 +141,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p3_found, p3_pairs, p3_incremental, p5_found, p5_links, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
+    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, p3_found, p3_pairs, p3_incremental, p5_found, p5_links, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
     return {f.__name__: f for f in own}

@@ -72,6 +72,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_summaries": P1_SUMMARIES,
         "p2_found": f"SELECT field_name, set_a, set_b FROM ({_both(0.5)})",
         "p2_overlaps": _both(0.25),
+        "p2_all_overlaps": _both(0),
         "p3_found": P3_FOUND,
         "p3_pairs": P3_PAIRS,
         "p3_incremental": P3_FOUND,
