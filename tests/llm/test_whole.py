@@ -20,3 +20,9 @@ def test_p2_every_pair_that_shares_a_listener(spark, tmp_path):
     size = lambda s: 100 if s == 1 else 11
     expected = {("users", a, b, 1, size(a), size(b)) for a in hot for b in hot if a < b}
     assert found == expected | {("users", 1, 2, 1, 100, 100), ("commons", 1, 2, 1, 10, 10)}
+
+
+def test_p3_pairs_of_a_single_user(spark, tmp_path):
+    lists = [("a", [1]), ("b", [1]), ("c", [2, 3, 4]), ("d", [2, 3])]
+    d = write(spark, tmp_path, itemset_user_set=(lists, "itemset string, users array<bigint>"))
+    assert {tuple(r) for r in queries.p3_all_pairs(spark, d).collect()} == {("a", "b", 1, 4.0), ("c", "d", 2, 1.3333)}

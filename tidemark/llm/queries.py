@@ -64,11 +64,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _pair_table(spark, d).scores(20, 5.0).select(F.col("item_a").alias("song_a"), F.col("item_b").alias("song_b"))
 
 
-def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    scores = _pair_table(spark, d).scores(5)
+def _lifts(scores: DataFrame) -> DataFrame:
     return scores.select(F.col("item_a").alias("song_a"), F.col("item_b").alias("song_b"), "n_ab", F.round("lift", 4).alias("lift"))
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Common users and lift of pairs that five users or more have; p3_all_pairs has the others too."""
+    return _lifts(_pair_table(spark, d).scores(5))
+
+
+def p3_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Common users and lift of every pair that any user has."""
+    return _lifts(_pair_table(spark, d).scores())
+
+
 def p3_incremental(spark: SparkSession, d: str) -> DataFrame:
     """p3_found by two batches: each song's first row loads the table, its further rows then change baskets."""
     lists = table(spark, d, "itemset_user_set")
@@ -141,5 +150,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, p3_found, p3_pairs, p3_incremental, p5_found, p5_links, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
+    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, p3_found, p3_pairs, p3_all_pairs, p3_incremental, p5_found, p5_links, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
     return {f.__name__: f for f in own}

@@ -40,6 +40,7 @@ WITH l AS (SELECT DISTINCT itemset AS song, unnest(users) AS u FROM itemset_user
 """
 P3_FOUND = P3 + "SELECT song_a, song_b FROM p JOIN s x ON x.song = song_a JOIN s y ON y.song = song_b, t WHERE n_ab >= 20 AND n_ab * t.n >= 5 * x.n * y.n"
 P3_PAIRS = P3 + "SELECT song_a, song_b, n_ab, round(CAST(n_ab AS double) * t.n / (CAST(x.n AS double) * CAST(y.n AS double)), 4) AS lift FROM p JOIN s x ON x.song = song_a JOIN s y ON y.song = song_b, t WHERE n_ab >= 5"
+P3_ALL_PAIRS = P3 + "SELECT song_a, song_b, n_ab, round(CAST(n_ab AS double) * t.n / (CAST(x.n AS double) * CAST(y.n AS double)), 4) AS lift FROM p JOIN s x ON x.song = song_a JOIN s y ON y.song = song_b, t"
 
 
 def _similar(name: str, left: str, right: str, same: bool) -> str:
@@ -75,6 +76,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_all_overlaps": _both(0),
         "p3_found": P3_FOUND,
         "p3_pairs": P3_PAIRS,
+        "p3_all_pairs": P3_ALL_PAIRS,
         "p3_incremental": P3_FOUND,
         "p5_found": P5,
         "p5_links": P5_LINKS,
