@@ -128,7 +128,7 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.capacities(*_mix(spark, d)).filter("not feasible").select("source")
+    return mixing.infeasible(*_mix(spark, d)).select("source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
