@@ -56,3 +56,11 @@ def test_p9_a_mix_of_all_texts_size(spark):
     tokens = lambda **x: {r.source: r[1] for r in mixing.mix(sized, targets, **x).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies"))).collect()}
     assert tokens() == {"big": 1000, "small": 1000}
     assert tokens(shrink=False) == {"big": 2000, "small": 1000}
+
+
+def test_p5_records_without_a_similar_one(spark, tmp_path):
+    items = [(1, [1, 2, 3]), (2, [70, 71, 72]), (3, [72, 71, 70, None]), (4, [80, 81])]
+    pairs = [(1, [1, 2, 3]), (5, [90, 91, 92]), (6, [])]
+    d = write(spark, tmp_path, user_transactions=([(1, list("abcde"))], "tx_id bigint, songs array<string>"), frequent_items=(items, "set_id bigint, users array<bigint>"), frequent_pairs=(pairs, "set_id bigint, commons array<bigint>"))
+    found = {tuple(r) for r in queries.p5_all_links(spark, d).collect()}
+    assert found == {("songs", 1, 1, 0), ("users", 1, 1, 1), ("users", 2, 2, 0), ("users", 3, 2, 0), ("users", 4, 4, 0), ("commons", 1, 1, 1), ("commons", 5, 5, 0)}

@@ -96,12 +96,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return named(songs, "songs").unionByName(named(users, "users"))
 
 
-def p5_links(spark: SparkSession, d: str) -> DataFrame:
-    """One row per record with its class of equal records and the number of similar ones."""
+def _links(spark: SparkSession, d: str, linked_only: bool) -> DataFrame:
     songs = simjoin.record_links(table(spark, d, "user_transactions"), "tx_id", "songs", threshold=0.6, least=5)
-    users = simjoin.record_links(table(spark, d, "frequent_items"), "set_id", "users", table(spark, d, "frequent_pairs"), "set_id", "commons", threshold=0.6)
+    users = simjoin.record_links(table(spark, d, "frequent_items"), "set_id", "users", table(spark, d, "frequent_pairs"), "set_id", "commons", threshold=0.6, linked_only=linked_only)
     name = F.when(F.col("side") == 0, "users").otherwise("commons")
-    return songs.select(F.lit("songs").alias("field_name"), "id", "class_id", "links").unionByName(users.filter("links > 0").select(name.alias("field_name"), "id", "class_id", "links"))
+    users = users.filter("links > 0") if linked_only else users
+    return songs.select(F.lit("songs").alias("field_name"), "id", "class_id", "links").unionByName(users.select(name.alias("field_name"), "id", "class_id", "links"))
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with its class of equal records and the number of similar ones; of users and commons only records that have any."""
+    return _links(spark, d, True)
+
+
+def p5_all_links(spark: SparkSession, d: str) -> DataFrame:
+    """p5_links with the users and commons that have no similar record."""
+    return _links(spark, d, False)
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -150,5 +160,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, p3_found, p3_pairs, p3_all_pairs, p3_incremental, p5_found, p5_links, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
+    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, p3_found, p3_pairs, p3_all_pairs, p3_incremental, p5_found, p5_links, p5_all_links, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
     return {f.__name__: f for f in own}

@@ -339,16 +339,20 @@ def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFr
     return out.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 
-def record_links(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1) -> DataFrame:
-    """One row per record: side (0 of `left`, 1 of `right`), id, class_id, copies, links. Between two tables a record that the filter
-    left out, having no similar one, has no row.
+def record_links(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1, linked_only: bool = False) -> DataFrame:
+    """One row per record: side (0 of `left`, 1 of `right`), id, class_id, copies, links. With `linked_only`, a record that the filter
+    between two tables left out, having no similar one, has no row; for callers that drop records without links anyway.
 
     class_id is the smallest id of the records of the same table with the same values, copies their number (1 without another), links
     the number of similar records: of the other table, or of the same one without itself. Copies aren't expanded into pairs, so a
     group of them costs no more than its rows. An id that comes with different values has a row for each. See `similar_pairs`.
     """
     joined = join_classes(left, left_id, left_values, right, right_id, right_values, threshold, least)
-    sizes = joined.members.groupBy(*KEYS).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    members = joined.members
+    if right is not None and not linked_only:
+        every = [_records(_raw(*x), least, threshold).select(F.lit(side).alias("side"), *KEYS[1:], "id") for side, x in enumerate(((left, left_id, left_values), (right, right_id, right_values)))]
+        members = staged(every[0].unionByName(every[1]).distinct(), "members")
+    sizes = members.groupBy(*KEYS).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     keys_of = lambda x: [F.col(f"{k}_{x}").alias(k) for k in KEYS]
     other = lambda x: [F.col(f"{k}_{x}").alias(f"{k}_o") for k in KEYS]
     both = joined.links.select(*keys_of("a"), *other("b")).unionByName(joined.links.select(*keys_of("b"), *other("a")))
@@ -356,4 +360,4 @@ def record_links(left: DataFrame, left_id: str, left_values: str, right: DataFra
     counted = both.join(theirs, [f"{k}_o" for k in KEYS]).groupBy(*KEYS).agg(F.sum("_theirs").alias("_links"))
     own = F.col("copies") - 1 if right is None else F.lit(0)
     classes = sizes.join(counted, KEYS, "left").withColumn("links", F.coalesce("_links", F.lit(0)) + own)
-    return joined.members.join(classes, KEYS).select("side", "id", "class_id", "copies", F.col("links").cast("bigint").alias("links"))
+    return members.join(classes, KEYS).select("side", "id", "class_id", "copies", F.col("links").cast("bigint").alias("links"))

@@ -65,6 +65,7 @@ def _classes(name: str, source: str, links: str, all_rows: bool) -> str:
 
 
 P5_LINKS = f"{_P5} {_classes('songs', 'b', 's', True)} UNION ALL {_classes('users', 'i', 'u', False)} UNION ALL {_classes('commons', 'c', 'u', False)}"
+P5_ALL_LINKS = f"{_P5} {_classes('songs', 'b', 's', True)} UNION ALL {_classes('users', 'i', 'u', True)} UNION ALL {_classes('commons', 'c', 'u', True)}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -80,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_incremental": P3_FOUND,
         "p5_found": P5,
         "p5_links": P5_LINKS,
+        "p5_all_links": P5_ALL_LINKS,
     }
