@@ -70,3 +70,9 @@ def test_missing_features(spark):
     raw = spark.createDataFrame([("a", "", "1", "2"), ("b", "x", "1", None), ("c", "3", "1", "2")], "i string, h string, l string, b string")
     assert readers.points_of(raw, "i", "h", "l", "b").filter("hotness = 0").count() == 2
     assert readers.points_of(raw, "i", "h", "l", "b", missing_as_zero=False).count() == 1
+
+
+@pytest.mark.parametrize("run", [kmeans.until_still, kmeans.until_close])
+def test_a_run_that_is_cut_off_is_an_error(spark, blobs, run):
+    with pytest.raises(RuntimeError, match="within 1 rounds"):
+        run(frame(spark, blobs), starts(blobs), rounds=1)

@@ -115,11 +115,14 @@ def _advance(points: DataFrame, runs: list[Run], rounds: int, finished) -> list[
             run.done = finished(old, new, moved[i], run.rounds)
             before[run.k, run.initial] = old
             run.centers = new
+    if cut := [(r.k, r.initial) for r in runs if not r.done]:
+        raise RuntimeError(f"runs (k, initial) {cut} didn't end within {rounds} rounds")
     return runs
 
 
 def until_still(points: DataFrame, starts: dict[tuple[int, int], dict[int, Center]], rounds: int = 200) -> list[Run]:
-    """Rounds until no point changes its cluster, for each start {(k, initial): centres}. A cluster without points is dropped.
+    """Rounds until no point changes its cluster, for each start {(k, initial): centres}. A cluster without points is dropped. A run
+    that needs more than `rounds` is an error.
 
     Sums of doubles depend on the order of rows in their last bits; points at equal distances may differ by that.
     """
@@ -128,7 +131,8 @@ def until_still(points: DataFrame, starts: dict[tuple[int, int], dict[int, Cente
 
 
 def until_close(points: DataFrame, starts: dict[tuple[int, int], dict[int, Center]], threshold: float = 1.0, rounds: int = 200) -> list[Run]:
-    """Two rounds at least, then until each centre moved by `threshold` or less; a round in which a cluster lost its points isn't the last."""
+    """Two rounds at least, then until each centre moved by `threshold` or less; a round in which a cluster lost its points isn't the last.
+    A run that needs more than `rounds` is an error."""
 
     def close(old: dict[int, Center], new: dict[int, Center], _: int, n: int) -> bool:
         far = any(sum((a - b) ** 2 for a, b in zip(old[c], new[c])) ** 0.5 > threshold for c in new if c in old)
