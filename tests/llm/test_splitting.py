@@ -20,7 +20,7 @@ def check(text, rows, limit, overlap):
     assert rows[0].start == 0 and rows[-1].end == len(text)
     back = ""
     for before, r in zip([None, *rows], rows):
-        assert r.piece == text[r.start : r.end] and len(ENCODE(r.piece)) < limit
+        assert r.piece == text[r.start : r.end] and len(ENCODE(r.piece)) == r.n_tokens < limit
         if before:
             assert before.start < r.start < before.end < r.end
             shared = text[r.start : before.end]
@@ -54,8 +54,17 @@ def test_ranges_agree_with_the_whole(spark):
     text = cues(random.Random(1), 500)
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     for size in (900, 4001, 10**6):
-        found = splitting.oversized(splitting.boundary_tables(splitting.ranges(df, 100, size), size), 100).first()
-        assert abs(found.n_tokens - len(ENCODE(text))) <= len(text) // size * 2
+        found = splitting.boundary_tables(splitting.ranges(df, 100, size), size).agg(F.sum("n_tokens")).first()[0]
+        assert abs(found - len(ENCODE(text))) <= len(text) // size * 2
+
+
+@pytest.mark.parametrize("range_chars", [701, 5000])
+def test_texts_of_several_blocks_give_the_same_pieces(spark, range_chars):
+    rng = random.Random(5)
+    texts = {1: cues(rng, 300), 2: "word " * 4000, 3: "я" * 9000, 4: "One sentence of words. " * 900, 5: "😀" * 3000, 6: "short"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = sorted(map(tuple, splitting.split_texts(df, 300, 20, range_chars, block_ranges=1).collect()))
+    assert found == sorted(map(tuple, splitting.split_texts(df, 300, 20, range_chars).collect()))
 
 
 @pytest.mark.parametrize(("block_ranges", "spread"), [(1, None), (3, None), (3, 4)])
@@ -72,14 +81,14 @@ def test_blocks_give_the_same_ranges(spark, block_ranges, spread):
 def test_giant_text(spark):
     text = cues(random.Random(3), 60_000)
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    rows = splitting.split_texts(df, spread=8).collect()
+    rows = splitting.split_texts(df).collect()
     assert len(text) > 4_000_000
     check(text, rows, 2000, 100)
 
 
 def test_limit(spark):
     df = spark.createDataFrame([(1, " a" * 2000), (2, " a" * 2001), (3, " a" * 2001)], "doc_id bigint, text string")
-    found = splitting.oversized(splitting.boundary_tables(splitting.ranges(df, 2001)), 2000)
+    found = splitting.oversized(df, 2000)
     assert sorted(r.doc_id for r in found.collect()) == [2, 3]
 
 
@@ -92,3 +101,9 @@ def test_empty_and_nulls(spark):
 def test_limit_below_overlap():
     with pytest.raises(ValueError):
         splitting.cut_points(*[__import__("numpy").zeros(0, dtype=int)] * 4, 1000, -1, 100, 100)
+
+
+def test_no_boundary_is_an_error():
+    none = [__import__("numpy").zeros(0, dtype=int)] * 4
+    with pytest.raises(ValueError, match="no boundary"):
+        splitting.cut_points(*none, 5000, 9999, 2000, 100)

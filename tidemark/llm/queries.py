@@ -151,8 +151,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return splitting.oversized(splitting.boundary_tables(splitting.ranges(documents, 2001)), 2000).select("doc_id")
+    return splitting.oversized(table(spark, d, "documents"), 2000, 100)
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:

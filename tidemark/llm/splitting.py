@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import parallelism, staged
 from .tokens import TOKENIZER_FILE, tokenizer
 
 #: Characters of a range. A text is cut into ranges before anything looks into it.
@@ -34,8 +35,7 @@ def ranges(docs: DataFrame, least_bytes: int, range_chars: int = RANGE_CHARS, ov
 
     Texts of fewer than `least_bytes` UTF-8 bytes are left out: a byte-level vocabulary can't give them more tokens than bytes.
     Texts of more than `block_ranges` ranges are cut into blocks first, as the cost of cutting goes with the place of the cut. With
-    `spread` blocks are dealt to so many tasks, so that several work on one text; it moves all text once, so it is for tables with
-    texts of hundreds of megabytes.
+    `spread` blocks are dealt to so many tasks, so that several work on one text; it moves all text once.
     """
     halo = overlap * TOKEN_CHARS
     block_chars = range_chars * block_ranges
@@ -82,8 +82,37 @@ def _own_bounds(part: str, left: int, width: int, start: int, n_chars: int) -> t
     return begin, end
 
 
+def boundary_table(part: str, start: int, left: int, n_chars: int, range_chars: int, overlap: int, encode, sizes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a range's own text and its boundaries (kind, token, at, back), see `boundary_tables`."""
+    begin, end = _own_bounds(part, left, range_chars, start, n_chars)
+    own, offset = part[begin:end], start - left + begin
+    ends, whole = _token_ends(own, encode, sizes)
+    good = np.flatnonzero(whole)
+    at, token = ends[good], good + 1
+    marks, kinds = [at], [TOKEN]
+    for kind, found in ((CUE, _CUE), (LINE, _LINE), (SENTENCE, _SENTENCE)):
+        marks.append(np.array([m.end() for m in found.finditer(own)], dtype=np.int64))
+        kinds.append(kind)
+    kind = np.repeat(kinds, [len(m) for m in marks])
+    mark = np.concatenate(marks).astype(np.int64)
+    # a boundary inside a token counts from the end of that token on, but cuts where it stands
+    before = np.searchsorted(at, mark, "left")
+    inside = before < len(at)
+    mark, kind, number = mark[inside], kind[inside], token[before[inside]]
+    run = kind * (len(ends) // BLOCK_TOKENS + 1) + number // BLOCK_TOKENS
+    order = np.lexsort((mark, run))
+    last = order[np.append(np.diff(run[order]) != 0, True)] if len(order) else order
+    mark, kind, number = mark[last], kind[last], number[last]
+    # the overlap may reach into the halo before the range
+    halo = part[max(0, begin - overlap * TOKEN_CHARS) : begin] if len(number) and number.min() < overlap else ""
+    edges = np.concatenate([_token_ends(halo, encode, sizes)[0] - len(halo), ends])
+    back_to = number + len(edges) - len(ends) - overlap
+    back = np.where(back_to <= 0, -len(halo), edges[np.maximum(back_to, 1) - 1]) if len(number) else number
+    return len(ends), kind, number, mark + offset, back + offset
+
+
 def boundary_tables(sliced: DataFrame, range_chars: int = RANGE_CHARS, overlap: int = 100, tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
-    """One row per range: doc_id, range_no, n_tokens of its own text, and arrays of boundaries.
+    """One row per range: doc_id, range_no, n_chars of the text, n_tokens of the range's own text, and arrays of boundaries.
 
     `kind` is 0 after a blank line (between cues), 1 after a line, 2 after a sentence, 3 after a token; `token` the range's tokens
     before the boundary, `at` its character offset in the text, `back` the offset `overlap` tokens before it (0 if the text has
@@ -93,61 +122,30 @@ def boundary_tables(sliced: DataFrame, range_chars: int = RANGE_CHARS, overlap:
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sizes = tokenizer(tokenizer_file)
         for batch in batches:
-            rows = {k: [] for k in ("n", "kind", "token", "at", "back")}
-            for start, left, n_chars, part in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                begin, end = _own_bounds(part, left, range_chars, start, n_chars)
-                own, offset = part[begin:end], start - left + begin
-                ends, whole = _token_ends(own, encode, sizes)
-                rows["n"].append(len(ends))
-                good = np.flatnonzero(whole)
-                at, token = ends[good], good + 1
-                marks, kinds = [at[token % BLOCK_TOKENS == 0], at[-1:]], [TOKEN, TOKEN]
-                for kind, found in ((CUE, _CUE), (LINE, _LINE), (SENTENCE, _SENTENCE)):
-                    marks.append(np.array([m.end() for m in found.finditer(own)], dtype=np.int64))
-                    kinds.append(kind)
-                kind = np.repeat(kinds, [len(m) for m in marks])
-                mark = np.concatenate(marks).astype(np.int64)
-                # a boundary inside a token counts from the end of that token on, but cuts where it stands
-                before = np.searchsorted(at, mark, "left")
-                inside = before < len(at)
-                mark, kind, number = mark[inside], kind[inside], token[before[inside]]
-                order = np.lexsort((mark, kind * (len(ends) + BLOCK_TOKENS) + number // BLOCK_TOKENS))
-                block = (kind * (len(ends) + BLOCK_TOKENS) + number // BLOCK_TOKENS)[order]
-                last = order[np.append(np.diff(block) != 0, True)] if len(order) else order
-                mark, kind, number = mark[last], kind[last], number[last]
-                # the overlap may reach into the halo before the range
-                halo = part[max(0, begin - overlap * TOKEN_CHARS) : begin] if len(number) and number.min() < overlap else ""
-                edges = np.concatenate([_token_ends(halo, encode, sizes)[0] - len(halo), ends])
-                back_to = number + len(edges) - len(ends) - overlap
-                back = np.where(back_to <= 0, -len(halo), edges[np.maximum(back_to, 1) - 1]) if len(number) else number
-                rows["kind"].append(kind.astype(np.int32))
-                rows["token"].append(number.astype(np.int32))
-                rows["at"].append((mark + offset).astype(np.int64))
-                rows["back"].append((back + offset).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(rows["n"], pa.int32()), pa.array(rows["kind"], pa.list_(pa.int32())),
-                    pa.array(rows["token"], pa.list_(pa.int32())), pa.array(rows["at"], pa.list_(pa.int64())), pa.array(rows["back"], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "range_no", "n_tokens", "kind", "token", "at", "back"],
-            )
+            found = [boundary_table(part, start, left, n, range_chars, overlap, encode, sizes) for start, left, n, part in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            lists = [pa.array([f[i] for f in found], pa.list_(t)) for i, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()), (4, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array([f[0] for f in found], pa.int32()), *lists], names=["doc_id", "range_no", "n_chars", "n_tokens", "kind", "token", "at", "back"])
 
     kind = sliced.schema["doc_id"].dataType.simpleString()
-    return sliced.mapInArrow(tables, f"doc_id {kind}, range_no int, n_tokens int, kind array<int>, token array<int>, at array<bigint>, back array<bigint>")
+    return sliced.mapInArrow(tables, f"doc_id {kind}, range_no int, n_chars int, n_tokens int, kind array<int>, token array<int>, at array<bigint>, back array<bigint>")
 
 
-def oversized(tables: DataFrame, limit: int = 2000) -> DataFrame:
-    """doc_id and n_tokens of the texts above `limit`: the ranges' lengths summed."""
-    return tables.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens")).filter(F.col("n_tokens") > limit)
+def stitched(counts: list[int], tables: list[tuple[np.ndarray, ...]]) -> tuple[int, list[np.ndarray]]:
+    """Tokens of a text and its boundaries (kind, token, at, back) in order of their token, from those of its ranges in turn."""
+    before = np.cumsum(counts) - counts
+    kind, token, at, back = (np.concatenate([np.asarray(t[i], dtype=np.int64) for t in tables]) for i in range(4))
+    token = token + np.repeat(before, [len(t[0]) for t in tables])
+    order = np.lexsort((at, token))
+    return int(np.sum(counts)), [x[order] for x in (kind, token, at, back)]
 
 
-def cut_points(kind: np.ndarray, token: np.ndarray, at: np.ndarray, back: np.ndarray, total: int, n_chars: int, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+def cut_points(kind: np.ndarray, token: np.ndarray, at: np.ndarray, back: np.ndarray, total: int, n_chars: int, limit: int, overlap: int, margin: int = MARGIN) -> list[tuple[int, int, int, int]]:
     """Pieces (start, end, tokens, kind of the end) from boundaries in order of their token.
 
     A piece ends at the last cue boundary that keeps it below the limit, else the last line, sentence or token boundary, if that is
-    past the overlap; the next starts `overlap` tokens earlier.
+    past the overlap; the next starts `overlap` tokens earlier. A text that has none in reach is an error.
     """
-    most = limit - 1 - MARGIN
+    most = limit - 1 - margin
     if most <= overlap:
         raise ValueError("limit must exceed the overlap by more than the margin")
     by_kind = [(token[kind == k], at[kind == k], back[kind == k]) for k in (CUE, LINE, SENTENCE, TOKEN)]
@@ -158,7 +156,7 @@ def cut_points(kind: np.ndarray, token: np.ndarray, at: np.ndarray, back: np.nda
             if i >= 0 and tokens[i] > passed and tokens[i] > first + overlap and ats[i] > start:
                 break
         else:
-            break
+            raise ValueError(f"no boundary within {most} tokens after character {start}")
         pieces.append((start, int(ats[i]), int(tokens[i] - first), k))
         passed = int(tokens[i])
         start, first = int(backs[i]), passed - overlap
@@ -166,42 +164,108 @@ def cut_points(kind: np.ndarray, token: np.ndarray, at: np.ndarray, back: np.nda
     return pieces
 
 
-def split_texts(docs: DataFrame, limit: int = 2000, overlap: int = 100, range_chars: int = RANGE_CHARS, tokenizer_file: str = TOKENIZER_FILE, spread: int | None = None) -> DataFrame:
+ENDS = ("cue", "line", "sentence", "token", "end")
+
+
+def _pieces_of(text: str, limit: int, overlap: int, range_chars: int, encode, sizes: np.ndarray) -> list[tuple[int, int, int, str, str]]:
+    """(start, end, tokens, how it ends, text) of the pieces of one text; none if it isn't above the limit.
+
+    A piece's own tokens may differ from those it has in the text, where it is cut inside a word; if that takes one to the limit, all
+    are planned anew with a larger margin.
+    """
+    halo = overlap * TOKEN_CHARS
+    counts, tables = [], []
+    for start in range(0, len(text), range_chars):
+        left = min(start, halo)
+        n, *table = boundary_table(text[start - left : start + range_chars + halo], start, left, len(text), range_chars, overlap, encode, sizes)
+        counts.append(n)
+        tables.append(tuple(table))
+    total, found = stitched(counts, tables)
+    if total <= limit:
+        return []
+    margin = MARGIN
+    while True:
+        cut = [(start, end, text[start:end], ENDS[k]) for start, end, _, k in cut_points(*found, total, len(text), limit, overlap, margin)]
+        own = [len(encode(c[2])) for c in cut]
+        if max(own) < limit:
+            return [(start, end, n, ends_at, piece) for n, (start, end, piece, ends_at) in zip(own, cut)]
+        margin += max(own) - limit + MARGIN
+
+
+def split_texts(docs: DataFrame, limit: int = 2000, overlap: int = 100, range_chars: int = RANGE_CHARS, tokenizer_file: str = TOKENIZER_FILE, block_ranges: int = BLOCK_RANGES) -> DataFrame:
     """Pieces of the texts of more than `limit` tokens: doc_id, piece_no, start, end, n_tokens, ends_at, piece.
 
     Pieces are below `limit` tokens and end between cues, lines or sentences where the text has such within reach; each begins with
     the last `overlap` tokens of the one before (some bytes more where a token ends inside a character). Cutting the overlaps away
     and joining the rest gives the text back. start and end are character offsets from 0, `ends_at` is cue, line, sentence, token or
-    end. Null, empty and small texts and null ids give no rows. doc_id has to be unique; rows of one id that differ are not told apart.
+    end, n_tokens the tokens of the piece by itself. Null, empty and small texts and null ids give no rows. Rows of one doc_id are each
+    split, but giant texts need an id of their own.
 
-    Only boundary tables are grouped by text, at most a few hundred bytes per thousand tokens, and a text is at most one cell of
-    2 GB, so a group has a bound; the text itself stays where it is until pieces are cut out of it by offset.
+    A text of at most `block_ranges` ranges is a block: its task makes the boundary tables of its ranges, stitches them and emits the
+    pieces, so nothing is moved. Larger texts are cut into blocks that all tasks share; see `_giant_pieces`.
     """
-    tables = boundary_tables(ranges(docs, limit + 1, range_chars, overlap, spread=spread), range_chars, overlap, tokenizer_file)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, piece_no int, start bigint, end bigint, n_tokens int, ends_at string, piece string"
+    long = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit))
+    block_chars = range_chars * block_ranges
+    giant = (F.octet_length("text") > block_chars) & (F.char_length("text") > block_chars)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, sizes = tokenizer(tokenizer_file)
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if pieces := _pieces_of(text, limit, overlap, range_chars, encode, sizes):
+                    n = len(pieces)
+                    columns = [pa.array([p[c] for p in pieces], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), pa.array(range(n), pa.int32()), *columns], names=["doc_id", "piece_no", "start", "end", "n_tokens", "ends_at", "piece"])
+
+    out = long.filter(~giant).mapInArrow(split, schema)
+    large = long.filter(giant)
+    return out.unionByName(_giant_pieces(large, limit, overlap, range_chars, block_ranges, tokenizer_file, schema)) if large.select("doc_id").take(1) else out
+
+
+def _giant_pieces(large: DataFrame, limit: int, overlap: int, range_chars: int, block_ranges: int, tokenizer_file: str, schema: str) -> DataFrame:
+    """Pieces of texts of several blocks, which are dealt to all tasks.
+
+    Workers make boundary tables of their ranges; those of a text, some 3 KB for a thousand tokens, are stitched in one task, which
+    sums the lengths and plans the pieces. The table of cuts is joined to the ranges by (doc_id, range_no); each range emits its slice
+    of a piece by offset, and the few that cross are put together. No task holds a whole text after it was cut into blocks. A piece
+    that reaches the limit by its own count is an error.
+    """
+    sliced = staged(ranges(large, limit + 1, range_chars, overlap, block_ranges, parallelism(large.sparkSession)), "ranges")
+    tables = boundary_tables(sliced, range_chars, overlap, tokenizer_file)
+    kind = large.schema["doc_id"].dataType.simpleString()
 
     def plan(group: pa.Table) -> pa.Table:
         group = group.sort_by("range_no")
-        counts = group.column("n_tokens").to_numpy()
-        before = np.concatenate([[0], np.cumsum(counts)])
-        total = int(before[-1])
-        if total <= limit:
-            rows: list[tuple[int, int, int, int]] = []
-        else:
-            lists = {k: group.column(k).to_pylist() for k in ("kind", "token", "at", "back")}
-            sizes = [len(x) for x in lists["kind"]]
-            flat = {k: np.array([y for x in v for y in x], dtype=np.int64) for k, v in lists.items()}
-            flat["token"] += np.repeat(before[:-1], sizes)
-            order = np.lexsort((flat["at"], flat["token"]))
-            rows = cut_points(*(flat[k][order] for k in ("kind", "token", "at", "back")), total, -1, limit, overlap)
-        n = len(rows)
+        lists = [group.column(k).to_pylist() for k in ("kind", "token", "at", "back")]
+        total, found = stitched(group.column("n_tokens").to_pylist(), list(zip(*lists)))
+        rows = cut_points(*found, total, group.column("n_chars")[0].as_py(), limit, overlap) if total > limit else []
         return pa.table({
-            "doc_id": group.column("doc_id").slice(0, 1).combine_chunks().take(pa.array([0] * n, pa.int64())), "piece_no": pa.array(range(n), pa.int32()), "start": pa.array([r[0] for r in rows], pa.int64()),
-            "end": pa.array([r[1] for r in rows], pa.int64()), "n_tokens": pa.array([r[2] for r in rows], pa.int32()), "ends_at": pa.array([("cue", "line", "sentence", "token", "end")[r[3]] for r in rows], pa.string()),
+            "doc_id": group.column("doc_id").slice(0, 1).combine_chunks().take(pa.array([0] * len(rows), pa.int64())), "piece_no": pa.array(range(len(rows)), pa.int32()), "start": pa.array([r[0] for r in rows], pa.int64()),
+            "end": pa.array([r[1] for r in rows], pa.int64()), "ends_at": pa.array([ENDS[r[3]] for r in rows], pa.string()),
         })
 
-    cut = tables.groupBy("doc_id").applyInArrow(plan, f"doc_id {kind}, piece_no int, start bigint, end bigint, n_tokens int, ends_at string")
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).filter(F.octet_length("_text") > limit)
-    end = F.when(F.col("end") < 0, F.char_length("_text").cast("bigint")).otherwise(F.col("end"))
-    out = cut.join(texts, F.col("doc_id") == F.col("_id")).withColumn("end", end)
-    return out.select("doc_id", "piece_no", "start", "end", "n_tokens", "ends_at", F.substring(F.col("_text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("piece"))
+    cut = tables.groupBy("doc_id").applyInArrow(plan, f"doc_id {kind}, piece_no int, start bigint, end bigint, ends_at string")
+    number = lambda at: F.floor(at / range_chars).cast("int")
+    parts = cut.withColumn("range_no", F.explode(F.sequence(number(F.col("start")), number(F.col("end") - 1))))
+    held = sliced.select("doc_id", "range_no", F.col("start").alias("_at"), "left", "part")
+    low, high = F.greatest("start", "_at"), F.least(F.col("end"), F.col("_at") + range_chars)
+    own = F.substring("part", (F.col("left") + low - F.col("_at") + 1).cast("int"), (high - low).cast("int"))
+    parts = parts.join(held, ["doc_id", "range_no"]).groupBy("doc_id", "piece_no", "start", "end", "ends_at").agg(F.sort_array(F.collect_list(F.struct("range_no", own.alias("own")))).alias("_parts"))
+    whole = parts.select("doc_id", "piece_no", "start", "end", "ends_at", F.array_join(F.transform("_parts", lambda x: x["own"]), "").alias("piece"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, _ = tokenizer(tokenizer_file)
+        for batch in batches:
+            n = [len(encode(x)) for x in batch.column(5).to_pylist()]
+            if max(n, default=0) >= limit:
+                raise ValueError(f"a piece of a giant text has {max(n)} tokens by itself")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int32()), batch.column(4), batch.column(5)], names=["doc_id", "piece_no", "start", "end", "n_tokens", "ends_at", "piece"])
+
+    return whole.mapInArrow(count, schema)
+
+
+def oversized(docs: DataFrame, limit: int = 2000, overlap: int = 100, **options) -> DataFrame:
+    """doc_id of the texts above `limit` tokens: those that `split_texts` has pieces of, once for each row of the id."""
+    return split_texts(docs, limit, overlap, **options).filter("piece_no = 0").select("doc_id")
