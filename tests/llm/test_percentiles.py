@@ -58,6 +58,28 @@ def test_summaries_of_days_merge(spark):
     assert percentiles.select_percentiles(merged, ["k"], PERCENTS).first() == percentiles.percentiles(df, ["k"], "v", PERCENTS).first()
 
 
+def test_summary_has_a_bound(spark):
+    df = spark.range(300_000).select((F.lit(1.0) + F.col("id") / 300_000).alias("v"), F.lit("a").alias("k"))
+    summary = percentiles.digit_histogram(df, ["k"], "v")
+    assert df.select("v").distinct().count() == 300_000 and summary.count() == 512
+    exact = {name: 1 + ((300_000 * p + 99) // 100 - 1) / 300_000 for name, p in PERCENTS.items()}
+    for name, x in exact.items():
+        assert abs(percentiles.select_percentiles(summary, ["k"], PERCENTS).first()[name] / x - 1) < 2**-9
+        assert abs(percentiles.percentiles(df, ["k"], "v", PERCENTS).first()[name] / x - 1) < 2**-24
+
+
+def test_many_groups_are_shuffled(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") * F.col("id") % 997 / 7).alias("v"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 > 0, F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
+    found = sorted(map(repr, percentiles.percentiles(df, ["k"], "v", PERCENTS).collect()))
+    monkeypatch.setattr(percentiles, "BROADCAST_GROUPS", 10)
+    assert sorted(map(repr, percentiles.percentiles(df, ["k"], "v", PERCENTS).collect())) == found
+
+
+def test_no_keys(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    assert tuple(percentiles.percentiles(df, [], "v", PERCENTS).first()) == (1000, 9.0, 499.0, 899.0, 999.0)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert percentiles.percentiles(df, ["k"], "v", PERCENTS).count() == 0

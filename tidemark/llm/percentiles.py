@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import salt, staged
 
 MANTISSA_BITS = 52
 _BIAS = 1023
+#: Bits of a summary that is kept: sign, exponent and nine of the fraction.
+SUMMARY_BITS = 21
+#: Bits of the first digit of a selection: sign, exponent and six of the fraction.
+FIRST_BITS = 18
+#: Groups whose followed digits are broadcast, a short row each; beyond it they are shuffled, with salts.
+BROADCAST_GROUPS = 200_000
+SALTS = 16
 
 
 def ordered_code(value: Column) -> Column:
@@ -38,14 +45,20 @@ def coded_value(code: Column) -> Column:
     return F.when(code < 0, -size).otherwise(size)
 
 
-def digit_histogram(df: DataFrame, keys: list[str], value: str, bits: int = 36) -> DataFrame:
+def _codes(df: DataFrame, keys: list[str], value: str, part: str | None = None) -> DataFrame:
+    """The keys as _g0.., the part as _part, and _code; without null and NaN values."""
+    named = [F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]
+    return df.select(*named, *([F.col(part).alias("_part")] if part else []), ordered_code(F.col(value).cast("double")).alias("_code")).filter("_code is not null")
+
+
+def digit_histogram(df: DataFrame, keys: list[str], value: str, bits: int = SUMMARY_BITS) -> DataFrame:
     """Mergeable summary: keys, prefix (the leading `bits` bits of the ordered code), n.
 
-    Summaries of parts (partitions, days) are merged by `merge`. Null and NaN values are left out, null keys are keys. A key has at
-    most as many rows as distinct prefixes; values of a prefix differ relatively by less than 2 ** (12 - bits).
+    Summaries of parts (partitions, days) are merged by `merge`. Null and NaN values are left out, null keys are keys. Values of a prefix
+    differ relatively by less than 2 ** (12 - bits), 2 ** -9 by default; a key has at most 2 ** (bits - 12) rows for each power of two that
+    its values span and each sign, however many values it has.
     """
-    code = ordered_code(F.col(value).cast("double"))
-    prefix = F.shiftright(code, 64 - bits)
+    prefix = F.shiftright(ordered_code(F.col(value).cast("double")), 64 - bits)
     return df.select(*keys, prefix.alias("prefix")).filter("prefix is not null").groupBy(*keys, "prefix").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -54,36 +67,29 @@ def merge(summaries: DataFrame, keys: list[str]) -> DataFrame:
     return summaries.groupBy(*keys, "prefix").agg(F.sum("n").alias("n"))
 
 
-def select_percentiles(summary: DataFrame, keys: list[str], percents: dict[str, int], bits: int = 36, digit_bits: int = 9) -> DataFrame:
-    """Percentiles of each group of a merged summary: keys, n, one column per entry of `percents` (name: percent, 1..100).
-
-    The percentile is the value of rank ceil(n * percent / 100), known to its prefix, so its relative error is below 2 ** (12 - bits);
-    the middle of the values that share the prefix isn't taken but their smallest in size, which is exact for values that end there.
-    Radix selection: the leading digit of `digit_bits` bits is histogrammed per group, the digit that holds each wanted rank is
-    followed, then the next digit within it. A histogram has at most 2 ** digit_bits rows per group and rank.
-    """
-    if bits % digit_bits:
-        raise ValueError("bits must be a multiple of digit_bits")
+def _check_names(keys: list[str], percents: dict[str, int]) -> None:
     if {"n", "prefix"} & {*keys} or {"n", *keys} & {*percents}:
         raise ValueError("n and prefix are names of the summary's own columns")
-    spark = summary.sparkSession
-    summary = staged(summary, "summary")
-    own = [f"_g{i}" for i in range(len(keys))]
-    base = summary.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("prefix").alias("_prefix"), F.col("n").alias("_n"))
-    wanted = spark.createDataFrame([(name, p) for name, p in percents.items()], "_name string, _percent int")
-    sizes = base.groupBy(*own).agg(F.sum("_n").alias("_total"))
-    rank = F.floor((F.col("_total") * F.col("_percent") + 99) / 100).cast("bigint")
-    chosen = sizes.crossJoin(F.broadcast(wanted)).select(*own, "_total", "_name", rank.alias("_rank"), F.lit(None).cast("bigint").alias("_head"))  # as many rows as `percents`
-    for left in range(bits - digit_bits, -1, -digit_bits):
-        head = F.shiftright("_prefix", left + digit_bits) if left + digit_bits < bits else F.lit(None).cast("bigint")
-        digits = base.groupBy(*own, head.alias("_in"), F.shiftright("_prefix", left).alias("_digit")).agg(F.sum("_n").alias("_n"))
-        a, b = digits.alias("a"), chosen.alias("b")
-        same = [F.col(f"a.{o}").eqNullSafe(F.col(f"b.{o}")) for o in own] + [F.col("a._in").eqNullSafe(F.col("b._head"))]
-        followed = a.join(b, same).select(*[F.col(f"b.{o}").alias(o) for o in own], "_total", "_name", "_rank", "_digit", "_n")
-        window = Window.partitionBy(*own, "_name").orderBy("_digit")
-        upto = F.sum("_n").over(window)
-        followed = followed.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-        chosen = followed.select(*own, "_total", "_name", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), F.col("_digit").alias("_head"))
+
+
+def _wanted(counts: DataFrame, own: list[str], percents: dict[str, int]) -> DataFrame:
+    """_total and the wanted ranks of each group, a row per group and percent."""
+    names = F.array(*[F.struct(F.lit(name).alias("_name"), F.ceil(F.col("_total") * F.lit(p) / F.lit(100)).cast("bigint").alias("_rank")) for name, p in percents.items()])
+    return counts.groupBy(*own).agg(F.sum("_n").alias("_total")).select(*own, "_total", F.explode(names).alias("_w")).select(*own, "_total", "_w.*")
+
+
+def _followed(digits: DataFrame, chosen: DataFrame, own: list[str], head: bool) -> DataFrame:
+    """The digit that holds each wanted rank, as _head, with the rank inside of it. With `head` digits count within the chosen heads."""
+    a, b = digits.alias("a"), chosen.alias("b")
+    same = [F.col(f"a.{o}").eqNullSafe(F.col(f"b.{o}")) for o in own] + ([F.col("a._in") == F.col("b._head")] if head else [])
+    met = a.join(b, same) if same else a.crossJoin(b)  # without keys both have a bounded number of rows
+    met = met.select(*[F.col(f"b.{o}").alias(o) for o in own], "_total", "_name", "_rank", "_digit", "_n")
+    upto = F.sum("_n").over(Window.partitionBy(*own, "_name").orderBy("_digit"))
+    met = met.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+    return met.select(*own, "_total", "_name", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), F.col("_digit").alias("_head"))
+
+
+def _shown(chosen: DataFrame, keys: list[str], own: list[str], percents: dict[str, int], bits: int) -> DataFrame:
     rest = F.shiftleft(F.col("_head"), 64 - bits)
     smallest = F.when(F.col("_head") < 0, rest + F.lit((1 << (64 - bits)) - 1)).otherwise(rest)
     found = chosen.select(*own, "_total", "_name", coded_value(smallest).alias("_value"))
@@ -91,10 +97,56 @@ def select_percentiles(summary: DataFrame, keys: list[str], percents: dict[str,
     return out.select(*[F.col(o).alias(k) for o, k in zip(own, keys)], F.col("_total").alias("n"), *percents)
 
 
+def select_percentiles(summary: DataFrame, keys: list[str], percents: dict[str, int], bits: int = SUMMARY_BITS) -> DataFrame:
+    """Percentiles of each group of a merged summary: keys, n, one column per entry of `percents` (name: percent, 1..100).
+
+    The percentile is the value of rank ceil(n * percent / 100), known to its prefix: of the values that share it their smallest in
+    size is given, so the relative error is below 2 ** (12 - bits).
+    """
+    _check_names(keys, percents)
+    own = [f"_g{i}" for i in range(len(keys))]
+    counts = staged(summary.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("prefix").alias("_digit"), F.col("n").alias("_n")), "summary")
+    return _shown(_followed(counts, _wanted(counts, own, percents), own, False), keys, own, percents, bits)
+
+
+def _within_heads(codes: DataFrame, chosen: DataFrame, own: list[str], left: int) -> DataFrame:
+    """The rows of `codes` whose leading bits, without the last `left`, are a chosen head of their group, with them as _in."""
+    heads = staged(chosen.groupBy(*own).agg(F.collect_set("_head").alias("_heads")), "heads")  # as many heads as percents
+    named = heads.select(*[F.col(o).alias(f"_h{o}") for o in own], "_heads")
+    same = [F.col(o).eqNullSafe(F.col(f"_h{o}")) for o in own]
+    rows = codes.withColumn("_in", F.shiftright("_code", left))
+    if heads.count() <= BROADCAST_GROUPS:
+        named = F.broadcast(named)
+    else:  # a group may hold a third of all rows
+        named = named.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows, same = rows.withColumn("_salt", salt("_code", *own, salts=SALTS)), [*same, F.col("_salt") == F.col("_s")]
+    met = rows.join(named, same) if same else rows.crossJoin(named)  # without keys there is one row of heads
+    return met.filter(F.array_contains("_heads", F.col("_in")))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, int], part: str | None = None, bits: int = 36, digit_bits: int = 9) -> DataFrame:
-    """Percentiles per group through summaries per `part` (a day), merged. See `digit_histogram` and `select_percentiles`.
+    """Percentiles of each group of `df`: keys, n, one column per entry of `percents`; relative error below 2 ** (12 - bits).
+
+    Radix selection: the leading digit (sign, exponent and the first bits of the fraction, FIRST_BITS in all) is histogrammed per group,
+    the digit that holds each wanted rank is followed, then the next digit of `digit_bits` bits is histogrammed over the rows within the
+    followed digits only, and so on. Each digit is a pass over the columns it needs of `df`. A pass has at most 2 ** digit_bits rows per
+    group and percent, whatever the values. With `part` (a day) each pass counts per part and adds the parts up, as separate parts would.
 
     Groups without a value give no row; an empty table gives none.
     """
-    summary = digit_histogram(df, [*keys, part] if part else keys, value, bits)
-    return select_percentiles(merge(summary, keys) if part else summary, keys, percents, bits, digit_bits)
+    if bits < FIRST_BITS or (bits - FIRST_BITS) % digit_bits:
+        raise ValueError(f"bits must be {FIRST_BITS} and a multiple of digit_bits")
+    _check_names(keys, percents)
+    own = [f"_g{i}" for i in range(len(keys))]
+    codes = _codes(df, keys, value, part)
+
+    def histogram(rows: DataFrame, by: list[str]) -> DataFrame:
+        counted = rows.groupBy(*own, *(["_part"] if part else []), *by, "_digit").agg(F.count(F.lit(1)).alias("_n"))
+        return counted.groupBy(*own, *by, "_digit").agg(F.sum("_n").alias("_n")) if part else counted
+
+    counts = staged(histogram(codes.withColumn("_digit", F.shiftright("_code", 64 - FIRST_BITS)), []), "digits")
+    chosen = staged(_followed(counts, _wanted(counts, own, percents), own, False), "chosen")
+    for upto in range(FIRST_BITS + digit_bits, bits + 1, digit_bits):
+        inside = _within_heads(codes, chosen, own, 64 - upto + digit_bits).withColumn("_digit", F.shiftright("_code", 64 - upto))
+        chosen = staged(_followed(histogram(inside, ["_in"]), chosen, own, True), "chosen")
+    return _shown(chosen, keys, own, percents, bits)

@@ -26,9 +26,9 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_summaries(spark: SparkSession, d: str) -> DataFrame:
-    """The summaries per day that p1_percentiles merges, with the smallest value of each prefix."""
-    found = percentiles.digit_histogram(_year(spark, d), ["unique_carrier", "month", "flight_date"], "arr_delay_minutes", 36)
-    return found.select("unique_carrier", "month", "flight_date", percentiles.coded_value(F.shiftleft("prefix", 28)).alias("value"), "n")
+    """Summaries per day that can be merged to percentiles known to 2 ** -9 of their value, with the smallest value of each prefix."""
+    found = percentiles.digit_histogram(_year(spark, d), ["unique_carrier", "month", "flight_date"], "arr_delay_minutes")
+    return found.select("unique_carrier", "month", "flight_date", percentiles.coded_value(F.shiftleft("prefix", 64 - percentiles.SUMMARY_BITS)).alias("value"), "n")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

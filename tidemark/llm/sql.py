@@ -11,10 +11,12 @@ SELECT unique_carrier, month, max(n) AS n, max(CASE WHEN rn = (n * 50 + 99) // 1
 FROM r GROUP BY unique_carrier, month
 """
 
-# delays are whole numbers, which 36 leading bits hold
+# a prefix holds nine bits below the leading one; delays aren't negative
 P1_SUMMARIES = """
-SELECT unique_carrier, try_cast(monthstring AS int) AS month, flight_date, arr_delay_minutes AS value, count(*) AS n FROM flights
-WHERE yearstring = '2008' AND arr_delay_minutes IS NOT NULL AND NOT isnan(arr_delay_minutes) GROUP BY 1, 2, 3, 4
+WITH f AS (SELECT unique_carrier, try_cast(monthstring AS int) AS month, flight_date, arr_delay_minutes AS v FROM flights
+           WHERE yearstring = '2008' AND arr_delay_minutes IS NOT NULL AND NOT isnan(arr_delay_minutes)),
+     u AS (SELECT *, CASE WHEN v = 0 THEN 1 ELSE pow(2, floor(log2(v)) - 9) END AS unit FROM f)
+SELECT unique_carrier, month, flight_date, floor(v / unit) * unit AS value, count(*) AS n FROM u GROUP BY 1, 2, 3, 4
 """
 
 
