@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rendered
 from ..operators import carrier_month, flights, itemsets, kmeans, skew, wordcount
-from ..runtime import shared_folder, table
+from ..runtime import scratch, table
 from ..sinks import writers
 from ..sources import readers, records
 from . import sql
@@ -70,34 +69,30 @@ def flight_key_scan(spark: SparkSession, d: str) -> DataFrame:
     return carrier_month.key_scan(carrier_month.keyed_flights(_flights(spark, d)))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
 def wide_table_scan(spark: SparkSession, d: str) -> DataFrame:
     """The keyed flights written as a table partitioned by year, and a year read from it."""
-    path = _scratch(spark, "wide")
+    path = scratch(spark, "wide")
     writers.write_wide_table(carrier_month.keyed_flights(_flights(spark, d)), path)
     return carrier_month.key_scan(readers.wide_table(spark, path))
 
 
 def letter_sink(spark: SparkSession, d: str) -> DataFrame:
     """Word counts written to a folder for each letter and read again."""
-    path = _scratch(spark, "letters")
+    path = scratch(spark, "letters")
     writers.write_by_letter(wc_counts(spark, d), path)
     return spark.read.parquet(path).select("letter", "word", "cnt")
 
 
 def text_sink(spark: SparkSession, d: str) -> DataFrame:
     """Monthly means written as lines of text and read again."""
-    path = _scratch(spark, "text")
+    path = scratch(spark, "text")
     writers.write_text(carrier_month_flat(spark, d).filter("carrier is not null"), path)
     return readers.text_lines(spark, path)
 
 
 def transactions_tabs(spark: SparkSession, d: str) -> DataFrame:
     """Listens written with tabs, read again, and gathered to transactions."""
-    path = _scratch(spark, "tabs")
+    path = scratch(spark, "tabs")
     writers.write_tabs(table(spark, d, "listens").select("user_key", "song").filter("user_key is not null and song is not null"), path)
     return itemsets.transactions(readers.tab_separated(spark, path)).select("user", "id", rendered(F.col("songs")).alias("songs"))
 

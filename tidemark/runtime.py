@@ -45,13 +45,18 @@ def _remove_local(folder: str) -> None:
     shutil.rmtree(folder, ignore_errors=True)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which `clear` deletes with all else that this application staged."""
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """`df` written to the shared folder as Parquet and read again: its lineage ends there and a lost executor costs nothing.
 
     The files stay until `release`, `clear` or, below a folder made by `shared_folder`, the end of the process.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # type: ignore[attr-defined]
