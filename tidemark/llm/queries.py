@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_folder, table
+from ..runtime import scratch, staged, table
 from . import clusters, cooccurrence, mixing, overlaps, packing, percentiles, simjoin, splitting
 
 FEATURES = ["artist_hotness", "loudness", "beat"]
@@ -56,8 +55,7 @@ def p2_all_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pair_table(spark: SparkSession, d: str) -> cooccurrence.PairTable:
-    built = cooccurrence.PairTable(spark, f"{shared_folder(spark)}/tidemark/pairs-{uuid.uuid4().hex}")
-    return built.apply(cooccurrence.new_baskets(table(spark, d, "itemset_user_set")))
+    return cooccurrence.load_lists(cooccurrence.PairTable(spark, scratch(spark, "pairs")), table(spark, d, "itemset_user_set"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,14 +77,19 @@ def p3_all_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """p3_found by two batches: each song's first row loads the table, its further rows then change baskets."""
+    """p3_found by a table and a batch: each song's first row loads the table and its pairs are scored; its further rows then change
+    baskets, and only the pairs that they affect are scored anew."""
     lists = table(spark, d, "itemset_user_set")
     earliest = lists.groupBy("itemset").agg(F.min("list_id").alias("list_id"))
     held = lambda rows: rows.filter("itemset is not null").select(F.explode("users").alias("basket"), F.col("itemset").alias("item")).filter("basket is not null")
     old = held(lists.join(earliest, ["itemset", "list_id"], "left_semi"))
-    built = cooccurrence.PairTable(spark, f"{shared_folder(spark)}/tidemark/pairs-{uuid.uuid4().hex}")
-    built.apply(cooccurrence.changes_between(old.limit(0), old)).apply(cooccurrence.changes_between(old, held(lists)))
-    return built.scores(20, 5.0).select(F.col("item_a").alias("song_a"), F.col("item_b").alias("song_b"))
+    built = cooccurrence.PairTable(spark, scratch(spark, "pairs"))
+    built.apply(cooccurrence.changes_between(old.limit(0), old))
+    kept = ["item_a", "item_b", "n_ab", "n_a", "n_b"]
+    before = staged(built.scores(20).select(*kept), "scores")
+    anew = staged(built.apply(cooccurrence.changes_between(old, held(lists))).rescored(), "rescored")
+    scored = before.join(anew, ["item_a", "item_b"], "left_anti").unionByName(anew.filter("n_ab >= 20"))
+    return built.with_lift(scored, 5.0).select(F.col("item_a").alias("song_a"), F.col("item_b").alias("song_b"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
