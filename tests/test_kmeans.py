@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 
 from tidemark.operators import kmeans
-from tidemark.schemas import POINT
 from tidemark.sources import readers
 
 
@@ -13,7 +12,7 @@ def blobs():
 
 
 def frame(spark, x):
-    return spark.createDataFrame([(f"s{i:04d}", *map(float, p)) for i, p in enumerate(x)], POINT)
+    return spark.createDataFrame([(f"s{i:04d}", *map(float, p)) for i, p in enumerate(x)], "id string, hotness double, loudness double, beat double")
 
 
 def lloyd(x, centers, still=True, threshold=1.0):
@@ -64,6 +63,8 @@ def test_sample_too_small(spark, blobs):
     with pytest.raises(ValueError):
         kmeans.sampled_seeds(frame(spark, blobs), 4, share=0.0)
     assert sorted(kmeans.sampled_seeds(frame(spark, blobs), 4, share=1.0)) == [1, 2, 3, 4]
+    with pytest.raises(ValueError):  # the share of the query is too small for a small table
+        kmeans.sampled_seeds(frame(spark, blobs).limit(100), 4)
 
 
 def test_missing_features(spark):

@@ -52,6 +52,24 @@ def test_listed_edits_give_a_record_and_none_is_cheaper():
         assert total == 0 or all(minimum_edits(x, fields, exact, False)[1] > 0 for x in seen)
 
 
+@pytest.mark.parametrize("kept", [1, 3, 256])
+def test_edits_are_listed_whatever_the_length(monkeypatch, kept):
+    monkeypatch.setattr(records, "KEPT_MARKS", kept)
+    rng = random.Random(kept)
+    lines = ["".join(rng.choice('aa,,"') for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, ""]
+    for fields, exact in ((1, True), (7, True), (9, False)):
+        for line, (_, total, operations) in zip(lines, records.edits_of(lines, fields, exact)):
+            assert len(operations.split("; ")) == total if total else operations == ""
+            assert minimum_edits(edited(line or "", operations), fields, exact)[1] == 0
+            assert total == minimum_edits(line, fields, exact, False)[1]
+
+
+def test_many_marks():
+    line = 'a,"' + 'y""' * 12_000 + ",c"
+    _, total, operations = minimum_edits(line, 3, True)
+    assert total == 1 and minimum_edits(edited(line, operations), 3, True)[1] == 0
+
+
 def flight(**changes):
     values = ["x"] * 55
     for name, value in ({"Year": "2008", "Month": "3", "FlightDate": "2008-02-29", "UniqueCarrier": "AA", "Origin": "ORD", "Dest": "JFK", "DepTime": "0905", "ArrTime": "", "ArrDelayMinutes": "1.5", "Cancelled": "0.00", "Diverted": "1.00", "OriginCityName": 'Chi "x"\n, IL'} | changes).items():
@@ -80,7 +98,16 @@ def test_reasons(spark):
     rows = [(1, good), (2, good + ",extra"), (3, "id,0.5,a"), (4, 'id,"0.5,a,b,c,1,2,3,4'), (5, ",0.5,a,b,c,1,2,-3,90"), (6, None), (7, ""), (8, good.replace("0.5", ".5")), (9, 'i"d,0.5'), (10, good.replace("0.5", "٣")), (1, good)]
     df = spark.createDataFrame(rows, "line_id bigint, raw_line string")
     same_rows([(r.line_id, r.reason) for r in records.rejected(df, records.SONGS).collect()], [(3, "columns"), (4, "quoting"), (5, "value"), (6, "columns"), (7, "columns"), (8, "value"), (9, "quoting"), (10, "value")])
-    same_rows(records.loaded(df, records.SONGS).collect(), [(1, "id", 0.5, -3.25, 90.0)] * 2 + [(2, "id", 0.5, -3.25, 90.0)])
+    rest = ["a", "b", "c", "1", "2"]
+    same_rows(records.loaded(df, records.SONGS).collect(), [(1, "id", 0.5, -3.25, 90.0, rest)] * 2 + [(2, "id", 0.5, -3.25, 90.0, [*rest, "extra"])])
+    wrong = {r.line_id: r.operations for r in records.rejected(df, records.SONGS).collect() if r.reason == "value"}
+    assert wrong == {5: "value of song_id: ", 8: "value of artist_hotness: .5", 10: "value of artist_hotness: ٣"}
+
+
+def test_all_fields_are_loaded(spark):
+    df = spark.createDataFrame([(1, flight(TailNum="N1", FlightNum="07"))], "line_id bigint, raw_line string")
+    (row,) = records.loaded(df, records.FLIGHTS).collect()
+    assert (row.TailNum, row.FlightNum, row.Year, row.OriginCityName, row.ArrTime) == ("N1", "07", 2008, 'Chi "x"\n, IL', None) and len(row) == 56
 
 
 def test_very_long_and_empty(spark):

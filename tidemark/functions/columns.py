@@ -16,6 +16,16 @@ def number(text: Column, kind: str) -> Column:
     return text.try_cast(kind)
 
 
+def trimmed(text: Column) -> Column:
+    """`text` without blanks at its ends."""
+    return F.trim(text)
+
+
+def folded(text: Column) -> Column:
+    """`text` as it is compared where case doesn't count."""
+    return F.lower(text)
+
+
 def known(value: Column) -> Column:
     """A double, null where it is NaN."""
     return F.when(~F.isnan(value), value)
@@ -32,7 +42,9 @@ def leave_one_out(items: Column, size: int, drop: int) -> Column:
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:
-    """Euclidean distance."""
+    """Euclidean distance; of one feature, the absolute difference."""
+    if len(a) == 1:
+        return F.abs(a[0] - b[0])
     return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:])), (a[0] - b[0]) * (a[0] - b[0])))
 
 

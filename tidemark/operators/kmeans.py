@@ -35,14 +35,20 @@ def seed_rows(rows: int, count: int = 300, step: int = 7919) -> list[int]:
 
 
 def sampled_seeds(points: DataFrame, k: int, share: float = 0.005, seed: int = 1) -> dict[int, Center]:
-    """The first k points, by id, of a sample of `share` of the rows taken by a hash of the id; an error if it holds fewer."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    """The first k points, by id, of a sample of `share` of the rows; an error if it holds fewer. A row is drawn by the first 32 bits of the
+    MD5 of `seed:id`, so the sample is the same wherever and whenever it is taken."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "id")), 1, 8), 16, 10).cast("bigint") < int(share * (1 << 32))
     found = points.filter(draw).orderBy("id", *FEATURES).limit(k).collect()
     if len(found) < k:
         raise ValueError(f"the sample has {len(found)} rows, {k} are needed")
     return {i + 1: tuple(r[f] for f in FEATURES) for i, r in enumerate(found)}  # type: ignore[misc]
 
 
+def grid_of(parameters: DataFrame) -> list[tuple[int, int]]:
+    """(k, initial) of each parameter line, without those that aren't two numbers: a line is a run, so they are few."""
+    return sorted({(r.k, r.initial) for r in parameters.select("k", "initial").collect() if r.k is not None and r.initial is not None})
+
+
 def seeds_at(numbered: DataFrame, rows: list[int]) -> dict[int, Center]:
     """Centres 1..k from the points at the given `row_no`."""
     at = {r.row_no: tuple(r[f] for f in FEATURES) for r in numbered.filter(F.col("row_no").isin(rows)).select("row_no", *FEATURES).collect()}

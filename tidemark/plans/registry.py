@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import rendered
+from ..functions.columns import rendered, two_digits
 from ..operators import carrier_month, flights, itemsets, kmeans, skew, wordcount
 from ..runtime import scratch, table
 from ..sinks import writers
@@ -76,6 +76,18 @@ def wide_table_scan(spark: SparkSession, d: str) -> DataFrame:
     return carrier_month.key_scan(readers.wide_table(spark, path))
 
 
+def wide_table_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Flights put into a wide table in two deliveries, by the key of the flight itself: a later delivery of a flight replaces it."""
+    rows = table(spark, d, "flights").select("row_id", F.col("yearstring").try_cast("int").alias("year"), F.col("unique_carrier").alias("carrier"), F.col("monthstring").try_cast("int").alias("month"), "flight_date", "flight_num", "origin", "arr_delay_minutes", "loaded_at")
+    keyed = rows.na.drop(subset=["year", "carrier", "month", "flight_date", "flight_num", "origin", "row_id"])
+    keyed = keyed.withColumn("row_key", F.concat_ws(",", F.col("year").cast("string"), "carrier", two_digits(F.col("month")), F.col("flight_date").cast("string"), F.col("flight_num").cast("string"), "origin"))
+    early = F.coalesce(F.col("loaded_at") < F.lit("2008-03-01").cast("timestamp_ntz"), F.lit(True))
+    path = scratch(spark, "wide")
+    for delivery in (keyed.filter(early), keyed.filter(~early)):
+        writers.upsert_wide_table(delivery, path, ["loaded_at", "row_id"])
+    return readers.wide_table(spark, path).select("row_key", "row_id", "year", "arr_delay_minutes")
+
+
 def letter_sink(spark: SparkSession, d: str) -> DataFrame:
     """Word counts written to a folder for each letter and read again."""
     path = scratch(spark, "letters")
@@ -90,6 +102,22 @@ def text_sink(spark: SparkSession, d: str) -> DataFrame:
     return readers.text_lines(spark, path)
 
 
+def _flight_files(spark: SparkSession, d: str) -> DataFrame:
+    """Flights from CSV files: the flight lines that load, written as they are and read as delimited files."""
+    path = scratch(spark, "csv")
+    records.parsed(table(spark, d, "flight_lines"), records.FLIGHTS).filter("loads").select("raw_line").write.text(path)
+    return readers.flights_of_text(readers.delimited(spark, path, multi_line=True))
+
+
+def csv_file_carrier_month(spark: SparkSession, d: str) -> DataFrame:
+    return carrier_month.monthly_means(_flight_files(spark, d))
+
+
+def csv_file_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The two-leg connections of the flights in the files."""
+    return flights.connection_delays(_flight_files(spark, d))
+
+
 def transactions_tabs(spark: SparkSession, d: str) -> DataFrame:
     """Listens written with tabs, read again, and gathered to transactions."""
     path = scratch(spark, "tabs")
@@ -123,7 +151,8 @@ def _held(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frequent_items(spark: SparkSession, d: str) -> DataFrame:
-    found = itemsets.frequent_items(_held(spark, d))
+    rows = itemsets.frequent_items(_held(spark, d))
+    found = itemsets.listed(rows).join(rows.select("items", "support").distinct(), "items")
     return found.select(F.col("items")[0].alias("item"), "support", rendered(F.col("users")).alias("users"))
 
 
@@ -132,21 +161,43 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shown(level: DataFrame) -> DataFrame:
-    return level.select(rendered(F.col("items")).alias("itemset"), F.size("users").cast("bigint").alias("support"))
+    return itemsets.supports(level).select(rendered(F.col("items")).alias("itemset"), "support")
+
+
+def _pairs_shown(pairs: DataFrame) -> DataFrame:
+    return pairs.select(rendered(F.col("items")).alias("pair"), F.size("users").cast("bigint").alias("support"), rendered(F.col("users")).alias("users"))
 
 
 def frequent_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(rendered(F.col("items")).alias("pair"), F.size("users").cast("bigint").alias("support"), rendered(F.col("users")).alias("users"))
+    return _pairs_shown(itemsets.listed(_pairs(spark, d)))
+
+
+def itemset_lines(spark: SparkSession, d: str) -> DataFrame:
+    """frequent_pairs written as lines of items and users, and read from them."""
+    path = scratch(spark, "lines")
+    writers.write_text(itemsets.listed(_pairs(spark, d)), path)
+    return _pairs_shown(readers.itemset_lines(spark, path))
 
 
 def _level(size: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: _shown(itemsets.itemsets(_pairs(spark, d), size)[size])
 
 
+def itemset_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Itemsets of three to seven songs, from the numbered outputs of the passes."""
+    folder = scratch(spark, "levels")
+    itemsets.itemsets(_pairs(spark, d), 7, folder=folder)
+    return spark.read.parquet(folder).groupBy("pass", "items").agg(F.count(F.lit(1)).alias("support")).select("pass", rendered(F.col("items")).alias("itemset"), "support")
+
+
 def itemsets_unpruned_k3(spark: SparkSession, d: str) -> DataFrame:
     return _shown(itemsets.next_level(_pairs(spark, d), 3, prune=False))
 
 
+def itemsets_any_case_k3(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(itemsets.next_level(_pairs(spark, d), 3, ignore_case=True))
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
     return readers.points_of(table(spark, d, "song_features"), "song_id", "artist_hotness", "loudness", "beat")
 
@@ -166,10 +217,9 @@ def kmeans_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_sampled_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds from a sample of the points; a twentieth, as the smallest table has few rows."""
+    """Seeds from a sample of 0.5 % of the points; an error where that is fewer than four."""
     points = _points(spark, d)
-    seeds = kmeans.sampled_seeds(points, 4, 0.05 if points.count() > 200 else 0.5)
-    return points.sparkSession.createDataFrame([(c, *x) for c, x in seeds.items()], "cluster int, hotness double, loudness double, beat double")
+    return points.sparkSession.createDataFrame([(c, *x) for c, x in kmeans.sampled_seeds(points, 4).items()], "cluster int, hotness double, loudness double, beat double")
 
 
 def kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -193,15 +243,33 @@ def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
     return kmeans.sizes_frame(points, kmeans.until_still(points, starts))
 
 
+def kmeans_parameter_lines(spark: SparkSession, d: str) -> DataFrame:
+    """kmeans_sweep with its runs given as lines of parameters."""
+    path = scratch(spark, "parameters")
+    writers.write_text(spark.createDataFrame(GRID, "k int, initial int"), path, ",")
+    points, starts = _starts(spark, d, kmeans.grid_of(readers.parameter_lines(spark, path)))
+    return kmeans.sizes_frame(points, kmeans.until_still(points, starts))
+
+
+def _rejected(spark: SparkSession, d: str, listed: bool) -> DataFrame:
+    feeds = [records.rejected(table(spark, d, feed.name), feed, listed) for feed in (records.FLIGHTS, records.SONGS)]
+    return feeds[0].unionByName(feeds[1])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    feeds = [records.rejected(table(spark, d, feed.name), feed) for feed in (records.FLIGHTS, records.SONGS)]
-    return feeds[0].unionByName(feeds[1]).select("feed", "line_id", "reason")
+    return _rejected(spark, d, False).select("feed", "line_id", "reason")
 
 
 def p4_rejected(spark: SparkSession, d: str) -> DataFrame:
-    """Rejected lines with the number of edits and a cheapest list of them."""
-    feeds = [records.rejected(table(spark, d, feed.name), feed) for feed in (records.FLIGHTS, records.SONGS)]
-    return feeds[0].unionByName(feeds[1])
+    """Rejected lines with the number of edits and a cheapest list of them, or the value that isn't valid."""
+    return _rejected(spark, d, True)
+
+
+def p4_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Rejected lines without a quote, whose least edits are known by their delimiters, with what is wrong with a value."""
+    bare = lambda feed: table(spark, d, feed.name).filter("raw_line is null or not contains(raw_line, '\"')")
+    feeds = [records.rejected(bare(feed), feed) for feed in (records.FLIGHTS, records.SONGS)]
+    return feeds[0].unionByName(feeds[1]).select("feed", "line_id", "reason", "edits", F.when(F.col("reason") == "value", F.col("operations")).alias("wrong"))
 
 
 def p4_flights(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +277,8 @@ def p4_flights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_songs(spark: SparkSession, d: str) -> DataFrame:
-    return records.loaded(table(spark, d, "song_lines"), records.SONGS)
+    found = records.loaded(table(spark, d, "song_lines"), records.SONGS)
+    return found.withColumn("others", rendered(F.col("others"), "|"))
 
 
 def _key_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -230,8 +299,8 @@ def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         wc_counts, wc_by_letter, flight_pairs, flight_avg_filter_first, flight_avg_join_first_v1, flight_avg_join_first_v2, flight_count_avg, connections_count_avg, carrier_month_flat,
-        carrier_month_nested, flight_row_keys, flight_key_scan, wide_table_scan, letter_sink, text_sink, transactions_tabs, csv_carrier_month, csv_points, tail_supports, kmeans_sampled_seeds, transactions, frequent_items, frequent_pairs, itemsets_unpruned_k3, kmeans_seeds, kmeans_assign, kmeans_step,
-        kmeans_threshold, kmeans_sweep, p4_found, p4_rejected, p4_flights, p4_songs, p6_found, p6_statistics,
+        carrier_month_nested, flight_row_keys, flight_key_scan, wide_table_scan, wide_table_upserts, letter_sink, text_sink, transactions_tabs, csv_carrier_month, csv_file_carrier_month, csv_file_pairs, csv_points, tail_supports, kmeans_sampled_seeds, transactions, frequent_items, frequent_pairs, itemset_lines, itemset_levels, itemsets_unpruned_k3, itemsets_any_case_k3, kmeans_seeds, kmeans_assign, kmeans_step,
+        kmeans_threshold, kmeans_sweep, kmeans_parameter_lines, p4_found, p4_rejected, p4_edits, p4_flights, p4_songs, p6_found, p6_statistics,
     )
     return {f.__name__: f for f in own} | {f"itemsets_k{k}": _level(k) for k in range(3, 8)}
 

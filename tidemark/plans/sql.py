@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..schemas import FLIGHT_COLUMNS
+
 WORDS = """
 WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS word FROM documents WHERE text IS NOT NULL),
      c AS (SELECT word, count(*) AS cnt FROM w WHERE regexp_matches(word, '^[mnopqMNOPQ]') GROUP BY word)
@@ -43,9 +45,14 @@ def _levels(last: int, prune: bool = True) -> str:
         out += f""", c{k} AS (SELECT list_append(a.items, b.items[{k - 1}]) AS items, list_intersect(a.users, b.users) AS users
       FROM l{k - 1} a JOIN l{k - 1} b ON a.items[1:{k - 2}] = b.items[1:{k - 2}] AND a.items[{k - 1}] < b.items[{k - 1}]),
       l{k} AS (SELECT * FROM c{k} WHERE len(users) >= 1 AND {kept})"""
-    return out + f"\nSELECT list_aggregate(items, 'string_agg', ',') AS itemset, len(users) AS support FROM l{last}"
+    return out
+
+
+def _level(last: int, prune: bool = True) -> str:
+    return _levels(last, prune) + f"\nSELECT list_aggregate(items, 'string_agg', ',') AS itemset, len(users) AS support FROM l{last}"
 
 
+_PAIRS = "SELECT list_aggregate(items, 'string_agg', ',') AS pair, len(users) AS support, list_aggregate(users, 'string_agg', ',') AS users FROM l2"
 TRANSACTIONS = """SELECT user_key AS "user", row_number() OVER (ORDER BY user_key) + 1 AS id, string_agg(song, ',' ORDER BY song) AS songs FROM listens WHERE user_key IS NOT NULL AND song IS NOT NULL GROUP BY user_key"""
 
 POINTS = """
@@ -68,17 +75,55 @@ def _records(feed: str, fields: str, values: str) -> str:
 {feed}_f AS (SELECT '{feed}' AS feed, line_id, v, CASE WHEN whole IS NOT NULL AND NOT whole THEN 'quoting' WHEN whole IS NULL OR NOT (len(v) {fields}) THEN 'columns' WHEN NOT ({values}) THEN 'value' END AS reason FROM {feed}_v)"""
 
 
+def _wrong(names: list[str], ats: list[int], checks: list[str]) -> str:
+    """What `records.rejected` says of the first value that isn't valid."""
+    return "CASE " + " ".join(f"WHEN NOT ({check}) THEN 'value of {name}: ' || v[{at}]" for name, at, check in zip(names, ats, checks)) + " END"
+
+
 def _time(at: int) -> str:
     return f"(v[{at}] = '' OR regexp_full_match(v[{at}], '[0-9]{{1,4}}') AND try_cast(v[{at}] AS int) // 100 <= 24 AND try_cast(v[{at}] AS int) % 100 <= 59)"
 
 
 _SIGNED = "([-+]?[0-9]+([.][0-9]+)?)?"
-_FLIGHT_VALUES = f"""regexp_full_match(v[1], '[0-9]{{4}}') AND regexp_full_match(v[3], '[0-9]{{1,2}}') AND try_cast(v[3] AS int) BETWEEN 1 AND 12
- AND regexp_full_match(v[6], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v[6] AS date) IS NOT NULL AND regexp_full_match(v[12], '[A-Z]{{3}}') AND regexp_full_match(v[18], '[A-Z]{{3}}')
- AND {_time(25)} AND {_time(36)} AND regexp_full_match(v[38], '([0-9]+([.][0-9]+)?)?') AND v[42] IN ('0.00', '1.00') AND v[44] IN ('0.00', '1.00')"""
-_SONG_VALUES = f"v[1] <> '' AND regexp_full_match(v[2], '{_SIGNED}') AND regexp_full_match(v[8], '{_SIGNED}') AND regexp_full_match(v[9], '{_SIGNED}')"
+_FLIGHT_CHECKS = {
+    ("Year", 1): "regexp_full_match(v[1], '[0-9]{4}')",
+    ("Month", 3): "regexp_full_match(v[3], '[0-9]{1,2}') AND try_cast(v[3] AS int) BETWEEN 1 AND 12",
+    ("FlightDate", 6): "regexp_full_match(v[6], '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(v[6] AS date) IS NOT NULL",
+    ("Origin", 12): "regexp_full_match(v[12], '[A-Z]{3}')",
+    ("Dest", 18): "regexp_full_match(v[18], '[A-Z]{3}')",
+    ("DepTime", 25): _time(25),
+    ("ArrTime", 36): _time(36),
+    ("ArrDelayMinutes", 38): "regexp_full_match(v[38], '([0-9]+([.][0-9]+)?)?')",
+    ("Cancelled", 42): "v[42] IN ('0.00', '1.00')",
+    ("Diverted", 44): "v[44] IN ('0.00', '1.00')",
+}
+_SONG_CHECKS = {("song_id", 1): "v[1] <> ''"} | {(name, at): f"regexp_full_match(v[{at}], '{_SIGNED}')" for name, at in (("artist_hotness", 2), ("loudness", 8), ("beat", 9))}
+_FLIGHT_VALUES, _SONG_VALUES = (" AND ".join(f"({c})" for c in checks.values()) for checks in (_FLIGHT_CHECKS, _SONG_CHECKS))
+
+
+def _edits(feed: str, edits: str, checks: dict) -> str:
+    wrong = _wrong([k[0] for k in checks], [k[1] for k in checks], list(checks.values()))
+    return f"""SELECT f.feed, f.line_id, f.reason, CAST(CASE WHEN f.reason = 'columns' THEN {edits} ELSE 0 END AS int) AS edits, CASE WHEN f.reason = 'value' THEN {wrong} END AS wrong
+    FROM {feed}_f f, (SELECT line_id AS line_at, len(coalesce(raw_line, '')) - len(replace(coalesce(raw_line, ''), ',', '')) + 1 AS k FROM {feed} WHERE raw_line IS NULL OR NOT contains(raw_line, '"'))
+    WHERE f.line_id = line_at AND reason IS NOT NULL"""
+
+
 RECORDS = f"WITH {_records('flight_lines', '= 55', _FLIGHT_VALUES)}, {_records('song_lines', '>= 9', _SONG_VALUES)}\n"
 
+_CSV_FLIGHTS = (
+    RECORDS.rstrip()
+    + """, g0 AS (SELECT try_cast(v[1] AS int) AS year, try_cast(v[3] AS int) AS month, try_cast(v[6] AS date) AS flight_date, nullif(v[7], '') AS carrier, v[12] AS origin, v[18] AS dest, try_cast(v[25] AS int) AS dep_time,
+     try_cast(v[36] AS int) AS arr_time, try_cast(v[38] AS double) AS arr_delay, try_cast(v[42] AS double) AS cancelled, try_cast(v[44] AS double) AS diverted FROM flight_lines_f WHERE reason IS NULL),
+     g AS (SELECT * FROM g0 WHERE cancelled = 0 AND diverted = 0 AND arr_time IS NOT NULL AND dep_time IS NOT NULL AND arr_delay IS NOT NULL AND origin <> '' AND dest <> '')
+"""
+)
+_KINDS = {"Year": "int", "Month": "int", "FlightDate": "date", "DepTime": "int", "ArrTime": "int", "ArrDelayMinutes": "double", "Cancelled": "double", "Diverted": "double"}
+
+
+def _flight_column(at: int, name: str) -> str:
+    return f"try_cast(v[{at}] AS {_KINDS[name]}) AS {name}" if name in _KINDS else f"v[{at}] AS {name}"
+
+
 _STATISTICS = """
 SELECT '{0}' AS field_name, {0} AS key_value, count(*) AS n, count(v) AS n_value, round(sum(v), 3) AS total, round(sum(v) / nullif(count(v), 0), 6) AS mean,
        {0} IS NOT NULL AND count(*) * 100 >= 5 * (SELECT count(*) FROM {2}) AS is_heavy
@@ -138,27 +183,43 @@ def oracle_sql() -> dict[str, str]:
         "flight_row_keys": _KEYED + "SELECT row_key, year, carrier, month, row_id FROM k",
         "flight_key_scan": _KEYED + "SELECT row_key, arr_delay FROM k WHERE year = 2008 AND cancelled = 0 AND arr_delay IS NOT NULL",
         "wide_table_scan": _KEYED + "SELECT row_key, arr_delay FROM k WHERE year = 2008 AND cancelled = 0 AND arr_delay IS NOT NULL",
+        "wide_table_upserts": """
+WITH f AS (SELECT *, try_cast(yearstring AS int) AS year, try_cast(monthstring AS int) AS month FROM flights),
+     k AS (SELECT *, year || ',' || unique_carrier || ',' || lpad(CAST(month AS varchar), 2, '0') || ',' || flight_date || ',' || flight_num || ',' || origin AS row_key FROM f WHERE row_id IS NOT NULL)
+SELECT row_key, row_id, year, arr_delay_minutes FROM k WHERE row_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY loaded_at DESC NULLS LAST, row_id DESC) = 1""",
         "letter_sink": WORDS + "SELECT lower(word[1]) AS letter, word, cnt FROM c",
         "text_sink": _MONTHS + "SELECT coalesce(carrier, '') || chr(9) || coalesce(CAST(month AS varchar), '') || chr(9) || avg_delay AS value FROM m WHERE carrier IS NOT NULL",
         "transactions_tabs": TRANSACTIONS,
         "csv_carrier_month": RECORDS
         + "SELECT v[7] AS carrier, CAST(v[3] AS int) AS month, CAST(ceil(sum(try_cast(v[38] AS double)) / count(try_cast(v[38] AS double))) AS int) AS avg_delay FROM flight_lines_f WHERE reason IS NULL AND v[1] = '2008' AND v[42] = '0.00' AND v[38] <> '' GROUP BY 1, 2",
+        "csv_file_carrier_month": _CSV_FLIGHTS + "SELECT carrier, month, CAST(ceil(sum(arr_delay) / count(arr_delay)) AS int) AS avg_delay FROM g0 WHERE year = 2008 AND cancelled = 0 AND arr_delay IS NOT NULL GROUP BY carrier, month",
+        "csv_file_pairs": _CSV_FLIGHTS
+        + f"""SELECT a.flight_date, a.arr_delay + b.arr_delay AS total_delay FROM g a JOIN g b ON a.flight_date = b.flight_date AND a.dest = b.origin AND a.arr_time < b.dep_time
+    WHERE a.origin = 'ORD' AND b.dest = 'JFK' AND {_PERIOD.format('a')} AND {_PERIOD.format('b')}""",
         "csv_points": RECORDS + "SELECT v[1] AS id, coalesce(try_cast(v[2] AS double), 0) AS hotness, coalesce(try_cast(v[8] AS double), 0) AS loudness, coalesce(try_cast(v[9] AS double), 0) AS beat FROM song_lines_f WHERE reason IS NULL",
         "tail_supports": ITEMS + "SELECT item, count(*) AS support, count(DISTINCT uid) AS users FROM h GROUP BY item",
         "kmeans_sweep": _sweep(90),
+        "kmeans_parameter_lines": _sweep(90),
+        "kmeans_sampled_seeds": POINTS
+        + "SELECT CAST(row_number() OVER (ORDER BY id, hotness, loudness, beat) AS int) AS cluster, hotness, loudness, beat FROM r WHERE CAST('0x' || md5('1:' || id)[1:8] AS bigint) < CAST(0.005 * 4294967296 AS bigint) QUALIFY cluster <= 4",
         "kmeans_threshold": THRESHOLD,
         "transactions": TRANSACTIONS,
         "frequent_items": ITEMS + "SELECT item, support, list_aggregate(users, 'string_agg', ',') AS users FROM i",
-        "frequent_pairs": ITEMS + "SELECT list_aggregate(items, 'string_agg', ',') AS pair, len(users) AS support, list_aggregate(users, 'string_agg', ',') AS users FROM l2",
-        **{f"itemsets_k{k}": _levels(k) for k in range(3, 8)},
-        "itemsets_unpruned_k3": _levels(3, prune=False),
+        "frequent_pairs": ITEMS + _PAIRS,
+        **{f"itemsets_k{k}": _level(k) for k in range(3, 8)},
+        "itemsets_unpruned_k3": _level(3, prune=False),
+        "itemsets_any_case_k3": _level(3).replace("a.items[1:1] = b.items[1:1]", "lower(a.items[1]) = lower(b.items[1])"),
+        "itemset_levels": _levels(7) + " UNION ALL ".join(f" SELECT {k} AS pass, list_aggregate(items, 'string_agg', ',') AS itemset, len(users) AS support FROM l{k}" for k in range(3, 8)),
+        "itemset_lines": ITEMS + _PAIRS,
         "kmeans_seeds": POINTS + "SELECT cluster, hotness, loudness, beat FROM s",
         "kmeans_assign": POINTS + "SELECT id, cluster FROM a",
         "kmeans_step": POINTS + "SELECT cluster, round(avg(hotness), 6) AS hotness, round(avg(loudness), 6) AS loudness, round(avg(beat), 6) AS beat, count(*) AS n FROM a GROUP BY cluster",
         "p4_found": RECORDS + "SELECT feed, line_id, reason FROM flight_lines_f WHERE reason IS NOT NULL UNION ALL SELECT feed, line_id, reason FROM song_lines_f WHERE reason IS NOT NULL",
-        "p4_flights": RECORDS
-        + "SELECT line_id, CAST(v[1] AS int) AS Year, CAST(v[3] AS int) AS Month, CAST(v[6] AS date) AS FlightDate, v[7] AS UniqueCarrier, v[12] AS Origin, v[18] AS Dest, try_cast(v[25] AS int) AS DepTime, try_cast(v[36] AS int) AS ArrTime, try_cast(v[38] AS double) AS ArrDelayMinutes, CAST(v[42] AS double) AS Cancelled, CAST(v[44] AS double) AS Diverted FROM flight_lines_f WHERE reason IS NULL",
-        "p4_songs": RECORDS + "SELECT line_id, v[1] AS song_id, try_cast(v[2] AS double) AS artist_hotness, try_cast(v[8] AS double) AS loudness, try_cast(v[9] AS double) AS beat FROM song_lines_f WHERE reason IS NULL",
+        # a delimiter too many is deleted, or several are quoted by two edits
+        "p4_edits": RECORDS + _edits("flight_lines", "CASE WHEN k < 55 THEN 55 - k ELSE least(k - 55, 2) END", _FLIGHT_CHECKS) + " UNION ALL " + _edits("song_lines", "9 - k", _SONG_CHECKS),
+        "p4_flights": RECORDS + f"SELECT line_id, {', '.join(_flight_column(i, name) for i, name in enumerate(FLIGHT_COLUMNS, 1))} FROM flight_lines_f WHERE reason IS NULL",
+        "p4_songs": RECORDS
+        + "SELECT line_id, v[1] AS song_id, try_cast(v[2] AS double) AS artist_hotness, try_cast(v[8] AS double) AS loudness, try_cast(v[9] AS double) AS beat, list_aggregate(list_concat(v[3:7], v[10:]), 'string_agg', '|') AS others FROM song_lines_f WHERE reason IS NULL",
         "p6_found": f"SELECT field_name, key_value FROM ({STATISTICS}) WHERE is_heavy",
         "p6_statistics": STATISTICS,
     }

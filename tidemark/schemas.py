@@ -18,15 +18,5 @@ FLIGHT_COLUMNS = [
 #: A flight record as text.
 FLIGHT_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in FLIGHT_COLUMNS])
 
-#: Flights as the operators take them: times as HHMM numbers, flags as numbers, missing values null.
-FLIGHT = T.StructType([
-    T.StructField("row_id", T.LongType()), T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType()), T.StructField("flight_date", T.DateType()),
-    T.StructField("carrier", T.StringType()), T.StructField("origin", T.StringType()), T.StructField("dest", T.StringType()), T.StructField("dep_time", T.IntegerType()),
-    T.StructField("arr_time", T.IntegerType()), T.StructField("arr_delay", T.DoubleType()), T.StructField("cancelled", T.DoubleType()), T.StructField("diverted", T.DoubleType()),
-])
-
 #: Listens: who heard what.
 LISTEN_TEXT = T.StructType([T.StructField("user", T.StringType()), T.StructField("song", T.StringType())])
-
-#: Points of the k-means operators.
-POINT = T.StructType([T.StructField("id", T.StringType()), T.StructField("hotness", T.DoubleType()), T.StructField("loudness", T.DoubleType()), T.StructField("beat", T.DoubleType())])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import known, number
+from ..functions.columns import known, number, trimmed
 from ..schemas import FLIGHT_TEXT, LISTEN_TEXT
 
 
@@ -15,17 +15,26 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def delimited(spark: SparkSession, path: str, schema: T.StructType = FLIGHT_TEXT, malformed: str = "PERMISSIVE") -> DataFrame:
+def delimited(spark: SparkSession, path: str, schema: T.StructType = FLIGHT_TEXT, malformed: str = "PERMISSIVE", multi_line: bool = False) -> DataFrame:
     """Comma-separated files without a header, quoted with `"`; `malformed` is PERMISSIVE, DROPMALFORMED or FAILFAST.
 
-    Quoted fields may hold delimiters and line breaks. To separate bad records with a reason see `records`.
+    Quoted fields may hold delimiters and, with `multi_line`, line breaks; a file is then read by one task. To separate bad records with
+    a reason see `records`.
     """
-    return spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True, mode=malformed)
+    return spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=multi_line, mode=malformed)
 
 
 def tab_separated(spark: SparkSession, path: str, schema: T.StructType = LISTEN_TEXT) -> DataFrame:
-    """Tab-separated files without quoting."""
-    return spark.read.csv(path, schema=schema, sep="\t", header=False, quote="", mode="PERMISSIVE")
+    """Tab-separated lines without quoting: what stands between tabs is the value, empty ones too. Missing fields are null, as are
+    texts that aren't of their column's type; fields beyond the schema are ignored."""
+    fields = F.split("value", "\t", -1)
+    return spark.read.text(path).select(*[F.get(fields, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
+
+
+def itemset_lines(spark: SparkSession, path: str) -> DataFrame:
+    """items, users from lines `item,item<tab>user,user`; blanks around an entry are trimmed, lines without a tab left out."""
+    entries = lambda i: F.transform(F.split(F.get(F.split("value", "\t", -1), F.lit(i)), ","), trimmed)
+    return spark.read.text(path).filter(F.contains("value", F.lit("\t"))).select(entries(0).alias("items"), F.transform(entries(1), lambda x: x.try_cast("bigint")).alias("users"))
 
 
 def wide_table(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,6 @@ of `minimum_edits`, whose operations state the reason.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +19,10 @@ from ..schemas import FLIGHT_COLUMNS
 
 #: A field that parses at no cost: quoted, with quotes doubled, or without quotes and delimiters.
 FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
-#: Marks of a record from which on the edits are counted but not listed, so that their table stays small.
-LISTED_MARKS = 20_000
+#: Marks between two tables of costs that are kept; those between are made again where edits are listed.
+KEPT_MARKS = 256
+#: Records that are parsed at a time.
+RECORDS_AT_ONCE = 128
 
 _DIGITS = r"[0-9]+(?:\.[0-9]+)?"
 
@@ -39,12 +40,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class Feed:
-    """How the records of a feed look: number of fields (`exact` or at least) and rules for the values that count."""
+    """How the records of a feed look: number of fields (`exact` or at least), rules for the values that count, names of all fields if they have any."""
 
     name: str
     fields: int
     exact: bool
     rules: tuple[Rule, ...]
+    names: tuple[str, ...] = ()
 
 
 _HHMM = r"(?:|[0-9]|[0-5][0-9]|[0-9][0-5][0-9]|(?:[01][0-9]|2[0-4])[0-5][0-9])"
@@ -58,6 +60,7 @@ FLIGHTS = Feed(
             ("ArrTime", "int", _HHMM), ("ArrDelayMinutes", "double", f"(?:{_DIGITS})?"), ("Cancelled", "double", r"[01]\.00"), ("Diverted", "double", r"[01]\.00"),
         )
     ),
+    tuple(FLIGHT_COLUMNS),
 )
 _SIGNED = rf"(?:[+-]?{_DIGITS})?"
 SONGS = Feed("song_lines", 9, False, (Rule(0, "song_id", "string", r"(?s).+"), Rule(1, "artist_hotness", "double", _SIGNED), Rule(7, "loudness", "double", _SIGNED), Rule(8, "beat", "double", _SIGNED)))
@@ -86,155 +89,203 @@ def parsed(lines: DataFrame, feed: Feed) -> DataFrame:
 
 
 def loaded(lines: DataFrame, feed: Feed) -> DataFrame:
-    """Valid records with typed fields: line_id and the columns that the feed's rules name. An empty value of a number is null.
+    """Valid records with typed fields: line_id and all fields of a feed that names them, else those that its rules name and `others`, an
+    array of the rest. Fields without a rule are strings. An empty value of a number is null.
 
     `lines` has line_id and raw_line; other columns are ignored. Repeated rows are loaded as often as they come.
     """
-    typed = [F.get("fields", F.lit(r.at)).try_cast(r.kind).alias(r.name) for r in feed.rules]
+    field = lambda at: F.get("fields", F.lit(at))
+    rules = {r.at: r for r in feed.rules}
+    if feed.names:
+        typed = [(field(i).try_cast(rules[i].kind) if i in rules else field(i)).alias(name) for i, name in enumerate(feed.names)]
+    else:
+        typed = [field(r.at).try_cast(r.kind).alias(r.name) for r in feed.rules]
+        typed.append(F.filter("fields", lambda x, i: ~i.isin(list(rules))).alias("others"))
     return parsed(lines, feed).filter("loads").select("line_id", *typed)
 
 
 _START, _PLAIN, _QUOTED, _AFTER = range(4)
+_OTHER, _DELIMITER, _QUOTE = range(3)
 _FAR = np.int32(1 << 28)
 
 
-def _marks(line: str) -> tuple[list[str], list[int]]:
-    """Quotes, delimiters and runs of anything else ('x'), with their offsets."""
-    found = [(m.group()[0] if m.group()[0] in '",' else "x", m.start()) for m in re.finditer(r'[",]|[^",]+', line)]
-    return [f[0] for f in found], [f[1] for f in found]
+def _marks(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and offsets of quotes, delimiters and runs of anything else."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kinds = np.where(codes == 34, _QUOTE, np.where(codes == 44, _DELIMITER, _OTHER)).astype(np.int8)
+    first = np.flatnonzero((kinds != _OTHER) | (np.concatenate([[_QUOTE], kinds[:-1]]) != _OTHER))
+    return kinds[first], first
 
 
 def _inserted(cost: np.ndarray, step: np.ndarray, capped: bool) -> np.ndarray:
-    """Cheapest costs after any insertions. Rows are states, columns the delimiters so far; the last column means `or more` if capped."""
+    """Cheapest costs after any insertions. Axes are records, states and the delimiters so far; the last column means `or more` if capped."""
     out = cost.copy()
-    out[_AFTER] = np.minimum(out[_AFTER], out[_QUOTED] + 1)  # close
-    ended = np.minimum(np.minimum(out[_START], out[_PLAIN]), out[_AFTER])
-    run = np.minimum.accumulate(ended - step) + step  # any number of delimiters
-    out[_START, 1:] = np.minimum(out[_START, 1:], run[:-1] + 1)
+    start, plain, quoted, after = (out[:, s] for s in range(4))
+    np.minimum(after, quoted + 1, out=after)  # close
+    ended = np.minimum(np.minimum(start, plain), after)
+    run = np.minimum.accumulate(ended - step, axis=1) + step  # any number of delimiters
+    np.minimum(start[:, 1:], run[:, :-1] + 1, out=start[:, 1:])
     if capped:
-        out[_START, -1] = min(out[_START, -1], ended[-1] + 1)
-    out[_QUOTED] = np.minimum(out[_QUOTED], np.minimum(out[_START], out[_AFTER]) + 1)  # open, or double a quote
-    out[_AFTER] = np.minimum(out[_AFTER], out[_QUOTED] + 1)
+        np.minimum(start[:, -1], ended[:, -1] + 1, out=start[:, -1])
+    np.minimum(quoted, np.minimum(start, after) + 1, out=quoted)  # open, or double a quote
+    np.minimum(after, quoted + 1, out=after)
     return out
 
 
-def _moved(cost: np.ndarray, mark: str, capped: bool) -> np.ndarray:
-    """Costs after reading `mark`, or deleting it at cost 1 if it is a quote or a delimiter."""
-    out = np.full_like(cost, _FAR)
-    if mark == "x":
-        out[_PLAIN] = np.minimum(cost[_START], cost[_PLAIN])
-        out[_QUOTED] = cost[_QUOTED]
-        return out
-    if mark == ",":
-        ended = np.minimum(np.minimum(cost[_START], cost[_PLAIN]), cost[_AFTER])
-        out[_START, 1:] = ended[:-1]
-        if capped:
-            out[_START, -1] = min(out[_START, -1], ended[-1])
-        out[_QUOTED] = cost[_QUOTED]
-    else:
-        out[_QUOTED] = np.minimum(cost[_START], cost[_AFTER])
-        out[_AFTER] = cost[_QUOTED]
-    return np.minimum(out, cost + 1)
+def _moved(wide: np.ndarray, mark: np.ndarray, capped: bool) -> np.ndarray:
+    """Costs after each record's `mark` was read, or deleted at cost 1 if it is a quote or a delimiter."""
+    out = np.full_like(wide, _FAR)
+    start, plain, quoted, after = (wide[:, s] for s in range(4))
+    other, delimiter, quote = ((mark == k)[:, None] for k in (_OTHER, _DELIMITER, _QUOTE))
+    ended = np.minimum(np.minimum(start, plain), after)
+    out[:, _START, 1:] = np.where(delimiter, ended[:, :-1], _FAR)
+    if capped:
+        out[:, _START, -1] = np.where(delimiter[:, 0], np.minimum(out[:, _START, -1], ended[:, -1]), _FAR)
+    out[:, _PLAIN] = np.where(other, np.minimum(start, plain), _FAR)
+    out[:, _QUOTED] = np.where(quote, np.minimum(start, after), quoted)
+    out[:, _AFTER] = np.where(quote, quoted, _FAR)
+    return np.where(other[:, :, None], out, np.minimum(out, wide + 1))
+
+
+class _Programme:
+    """The dynamic programme over several records, longest first, to `columns` fields (or more, if capped)."""
+
+    def __init__(self, marks: list[np.ndarray], columns: int, capped: bool) -> None:
+        self.length = np.array([len(m) for m in marks])
+        self.marks = np.zeros((len(marks), int(self.length.max(initial=0))), dtype=np.int8)
+        for i, m in enumerate(marks):
+            self.marks[i, : len(m)] = m
+        self.capped, self.step = capped, np.arange(columns, dtype=np.int32)
+        self.kept: list[np.ndarray] = []  # costs before every KEPT_MARKS-th mark
+        cost = np.full((len(marks), 4, columns), _FAR, dtype=np.int32)
+        cost[:, _START, 0] = 0
+        for t in range(self.marks.shape[1]):
+            if t % KEPT_MARKS == 0:
+                self.kept.append(cost)
+                cost = cost.copy()
+            n = int((self.length > t).sum())
+            cost[:n] = _moved(_inserted(cost[:n], self.step, capped), self.marks[:n, t], capped)
+        self.end = _inserted(cost, self.step, capped)
+        self.total = np.minimum(np.minimum(self.end[:, _START], self.end[:, _PLAIN]), self.end[:, _AFTER])[:, -1]
+
+    def edits(self, offsets: list[np.ndarray], ends: list[int]) -> list[str]:
+        """The edits of one cheapest way for each record, found backwards; positions are 0-based offsets in the line."""
+        found: list[list[str]] = [[] for _ in ends]
+        at = {int(r): (min((_START, _PLAIN, _AFTER), key=lambda s: self.end[r, s, -1]), len(self.step) - 1) for r in np.flatnonzero(self.total)}
+        open_rows = dict.fromkeys(at, False)  # whether the insertions at the place are done
+        for part in range(max(len(self.kept), 1) - 1, -1, -1):
+            low, high = part * KEPT_MARKS, min((part + 1) * KEPT_MARKS, self.marks.shape[1])
+            rows = np.array([r for r in at if self.length[r] >= low], dtype=np.int64)
+            if not len(rows):
+                continue
+            first = self.kept[part] if self.kept else np.where(np.arange(4)[:, None] + self.step == 0, 0, _FAR)[None].repeat(len(ends), 0).astype(np.int32)
+            plain = [first[rows]]
+            for t in range(low, high):
+                plain.append(_moved(_inserted(plain[-1], self.step, self.capped), self.marks[rows, t], self.capped))
+            wide = [_inserted(x, self.step, self.capped) for x in plain]
+            for i, r in enumerate(rows):
+                r = int(r)
+                begin = int(min(self.length[r], high))
+                state = self._back(r, at[r], begin, low, [p[i] for p in plain], [w[i] for w in wide], offsets[r], ends[r], found[r], open_rows[r])
+                if state is None:
+                    del at[r]
+                else:
+                    at[r], open_rows[r] = state, True
+        return ["; ".join(f[::-1]) for f in found]
+
+    def _back(self, r: int, place: tuple[int, int], at: int, low: int, plain: list[np.ndarray], wide: list[np.ndarray], offsets: np.ndarray, end: int, edits: list[str], done: bool) -> tuple[int, int] | None:
+        """Go back from mark `at` to mark `low`; the state there, or None once no edits are left."""
+        (state, column), most = place, len(self.step) - 1
+        before = lambda c: {c - 1, c} if self.capped and c == most else {c - 1}
+        while True:
+            offset = int(offsets[at]) if at < len(offsets) else end
+            if not done:  # go back over insertions at this place
+                here, own, grown = int(wide[at - low][state, column]), plain[at - low], wide[at - low]
+                while own[state, column] != here:
+                    options = []
+                    if state == _AFTER:
+                        options = [(_QUOTED, column, "insert quote")]
+                    elif state == _QUOTED:
+                        options = [(_START, column, "insert quote"), (_AFTER, column, "insert quote")]
+                    elif state == _START:
+                        options = [(s, c, "insert delimiter") for c in before(column) if c >= 0 for s in (_START, _PLAIN, _AFTER)]
+                    cheaper = [o for o in options if grown[o[0], o[1]] == here - 1]
+                    if not cheaper:
+                        break
+                    state, column, what = cheaper[0]
+                    here -= 1
+                    edits.append(f"{what} at {offset}")
+            done = False
+            if at == 0 or plain[at - low][state, column] == 0:
+                return None
+            if at == low:
+                return state, column
+            at -= 1
+            mark, now = self.marks[r, at], plain[at + 1 - low][state, column]
+            sources = []
+            if mark == _OTHER:
+                sources = [(s, column) for s in ((_START, _PLAIN) if state == _PLAIN else (_QUOTED,) if state == _QUOTED else ())]
+            elif mark == _DELIMITER:
+                if state == _QUOTED:
+                    sources = [(_QUOTED, column)]
+                elif state == _START:
+                    sources = [(s, c) for c in before(column) if c >= 0 for s in (_START, _PLAIN, _AFTER)]
+            elif state == _QUOTED:
+                sources = [(_START, column), (_AFTER, column)]
+            elif state == _AFTER:
+                sources = [(_QUOTED, column)]
+            same = [s for s in sources if wide[at - low][s] == now]
+            if same:
+                state, column = same[0]
+            else:
+                edits.append(f"delete {'quote' if mark == _QUOTE else 'delimiter'} at {int(offsets[at])}")
 
 
-def minimum_edits(line: str | None, fields: int, exact: bool, listed: bool = True) -> tuple[int, int, str]:
-    """(edits that quoting needs, edits in all, the edits) to make `line` a record of `fields` fields (or at least so many).
+def edits_of(lines: list[str | None], fields: int, exact: bool, listed: bool = True) -> list[tuple[int, int, str]]:
+    """(edits that quoting needs, edits in all, the edits) to make each line a record of `fields` fields (or at least so many).
 
     The first number leaves the number of fields open. A null line has no marks and needs all its delimiters. The programme runs over
     quotes, delimiters and runs of other characters; its states are the start of a field, an unquoted field, a quoted field, and the
-    place after a quote in a quoted field; with each state goes the number of delimiters so far.
+    place after a quote in a quoted field; with each state goes the number of delimiters so far. Records advance together.
     """
-    marks, offsets = _marks(line or "")
-
-    def final(table: np.ndarray) -> np.ndarray:
-        return np.minimum(np.minimum(table[_START], table[_PLAIN]), table[_AFTER])
-
-    def run(columns: int, capped: bool, keep: bool) -> tuple[int, list[np.ndarray]]:
-        step = np.arange(columns, dtype=np.int32)
-        cost = np.full((4, columns), _FAR, dtype=np.int32)
-        cost[_START, 0] = 0
-        history = []
-        for mark in marks:
-            history.append(cost) if keep else None
-            cost = _moved(_inserted(cost, step, capped), mark, capped)
-        history.append(cost)
-        return int(final(_inserted(cost, step, capped))[-1]), history
-
-    quoting, _ = run(1, True, False)
-    listed = listed and len(marks) <= LISTED_MARKS
-    total, history = run(fields, not exact, listed)
-    return quoting, total, "; ".join(_listed(marks, offsets, len(line or ""), history, fields, not exact)) if listed and total else ""
-
-
-def _listed(marks: list[str], offsets: list[int], end: int, history: list[np.ndarray], fields: int, capped: bool) -> list[str]:
-    """The edits of one cheapest way, found backwards from the kept costs; positions are 0-based offsets in the line."""
-    step = np.arange(fields, dtype=np.int32)
-    edits: list[str] = []
-    state, column, at = -1, fields - 1, len(marks)
-    table = _inserted(history[at], step, capped)
-    state = min((_START, _PLAIN, _AFTER), key=lambda s: table[s, column])
-    before_insertions = False
-    while True:
-        offset = offsets[at] if at < len(marks) else end
-        if not before_insertions:  # go back over insertions at this place
-            here, plain = _inserted(history[at], step, capped)[state, column], history[at]
-            while plain[state, column] != here:
-                options = []
-                if state == _AFTER:
-                    options = [(_QUOTED, column, "insert quote")]
-                elif state == _QUOTED:
-                    options = [(_START, column, "insert quote"), (_AFTER, column, "insert quote")]
-                elif state == _START:
-                    options = [(s, c, "insert delimiter") for c in ({column - 1, column} if capped and column == fields - 1 else {column - 1}) if c >= 0 for s in (_START, _PLAIN, _AFTER)]
-                wide = _inserted(plain, step, capped)
-                found = [o for o in options if wide[o[0], o[1]] == here - 1]
-                if not found:
-                    break
-                state, column, what = found[0]
-                here -= 1
-                edits.append(f"{what} at {offset}")
-            before_insertions = True
-        if at == 0:
-            break
-        at -= 1
-        mark, now = marks[at], history[at + 1][state, column]
-        wide = _inserted(history[at], step, capped)
-        sources = []
-        if mark == "x":
-            sources = [(s, column) for s in ((_START, _PLAIN) if state == _PLAIN else (_QUOTED,) if state == _QUOTED else ())]
-        elif mark == ",":
-            if state == _QUOTED:
-                sources = [(_QUOTED, column)]
-            elif state == _START:
-                sources = [(s, c) for c in ({column - 1, column} if capped and column == fields - 1 else {column - 1}) if c >= 0 for s in (_START, _PLAIN, _AFTER)]
-        elif state == _QUOTED:
-            sources = [(_START, column), (_AFTER, column)]
-        elif state == _AFTER:
-            sources = [(_QUOTED, column)]
-        found = [s for s in sources if wide[s] == now]
-        if found:
-            state, column = found[0]
-        else:
-            edits.append(f"delete {'quote' if mark == chr(34) else 'delimiter'} at {offsets[at]}")
-        before_insertions = False
-    return edits[::-1]
-
-
-def rejected(lines: DataFrame, feed: Feed) -> DataFrame:
+    marks = [_marks(x or "") for x in lines]
+    order = sorted(range(len(lines)), key=lambda i: -len(marks[i][0]))
+    out: list[tuple[int, int, str]] = [(0, 0, "")] * len(lines)
+    for lo in range(0, len(lines), RECORDS_AT_ONCE):
+        own = order[lo : lo + RECORDS_AT_ONCE]
+        kinds = [marks[i][0] for i in own]
+        quoting = _Programme(kinds, 1, True).total
+        whole = _Programme(kinds, fields, not exact)
+        text = whole.edits([marks[i][1] for i in own], [len(lines[i] or "") for i in own]) if listed else [""] * len(own)
+        for i, q, n, e in zip(own, quoting, whole.total, text):
+            out[i] = (int(q), int(n), e)
+    return out
+
+
+def minimum_edits(line: str | None, fields: int, exact: bool, listed: bool = True) -> tuple[int, int, str]:
+    """`edits_of` one line."""
+    return edits_of([line], fields, exact, listed)[0]
+
+
+def rejected(lines: DataFrame, feed: Feed, listed: bool = True) -> DataFrame:
     """Records that don't load: feed, line_id, reason, edits, operations.
 
     reason is `quoting` if quotes have to be edited or the text around them cut for the record to be read at all, else `columns` if
     delimiters have to be edited for the right number of fields, else `value`: it parses at no cost but a value isn't valid. `edits`
-    is the least number of insertions and deletions, `operations` one cheapest list of them (empty for records of very many marks).
-    A null or empty line has too few columns. Repeated rows are reported as often as they come; no rows, no rows.
+    is the least number of insertions and deletions, `operations` one cheapest list of them, or for `value` the first field whose value
+    isn't valid with that value; it is empty unless `listed`. A null or empty line has too few columns. Repeated rows are reported as
+    often as they come; no rows, no rows.
     """
-    failed = parsed(lines, feed).filter(~F.col("loads")).select("line_id", "raw_line")
+    value = lambda rule: F.get("fields", F.lit(rule.at))
+    wrong = F.coalesce(*[F.when(~F.coalesce(_valid(value(r), r), F.lit(False)), F.concat(F.lit(f"value of {r.name}: "), value(r))) for r in feed.rules])
+    failed = parsed(lines, feed).filter(~F.col("loads")).select("line_id", "raw_line", (wrong if listed else F.lit("")).alias("wrong"))
     name, fields, exact = feed.name, feed.fields, feed.exact
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [minimum_edits(x, fields, exact) for x in batch.column(1).to_pylist()]
+            found = edits_of(batch.column(1).to_pylist(), fields, exact, listed)
             reason = ["quoting" if q else "columns" if n else "value" for q, n, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), batch.column(0), pa.array(reason), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found])], names=["feed", "line_id", "reason", "edits", "operations"])
+            text = [e if n else w for (_, n, e), w in zip(found, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), batch.column(0), pa.array(reason, pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array(text, pa.string())], names=["feed", "line_id", "reason", "edits", "operations"])
 
     return failed.mapInArrow(explain, "feed string, line_id bigint, reason string, edits int, operations string")
