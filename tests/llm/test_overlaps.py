@@ -26,8 +26,9 @@ def planted(rng, hot):
     return sets
 
 
-@pytest.mark.parametrize(("share", "hot_degree", "tile_sets"), [(0.5, 256, 10**6), (0.5, 8, 10**6), (0.5, 20, 40), (0.9, 3, 10**6), (0.05, 12, 10**6)])
-def test_against_brute_force(spark, share, hot_degree, tile_sets):
+@pytest.mark.parametrize(("share", "hot_degree", "tile_sets", "dense"), [(0.5, 256, 10**6, 10**7), (0.5, 8, 10**6, 10**7), (0.5, 20, 40, 100), (0.9, 3, 10**6, 300), (0.05, 12, 10**6, 100), (1e-12, 5, 50, 200)])
+def test_against_brute_force(spark, monkeypatch, share, hot_degree, tile_sets, dense):
+    monkeypatch.setattr(overlaps, "DENSE_VALUES", dense)
     rng = random.Random(hot_degree)
     sets = planted(rng, [10_000 + i for i in range(12)])
     rows = [(i, list(x) + [None] + list(x)[:2], 1, "clash") for i, x in sets.items()]

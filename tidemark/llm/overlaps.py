@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.itemsets import numbered
 from ..runtime import parallelism, staged
 from .kernels import mix64, runs, slices, within
 
@@ -18,8 +19,9 @@ BLOCK_VALUES = 1_000_000
 TILE_SETS = 4_000_000
 #: An identifier in more sets than this is hot: its pairs are not emitted but counted for candidates, or by dense tiles.
 HOT_DEGREE = 256
-#: Sets in a dense tile of hot identifiers.
+#: Most sets of a dense tile of hot identifiers, and its incidences, which make it smaller where sets are large.
 DENSE_SETS = 2048
+DENSE_VALUES = 10_000_000
 
 
 def _clean(sets: DataFrame, set_id: str, ids: str) -> DataFrame:
@@ -174,37 +176,72 @@ def block_products(blocks: DataFrame, hot_degree: int = HOT_DEGREE, tiles: int =
     return blocks.groupBy("block", "tile_a", "tile_b").applyInArrow(multiply, "a bigint, b bigint, n bigint")
 
 
-def _dense_pairs(hot: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
-    """Pairs that reach `share` by hot identifiers alone, from dense tiles of sets; rows a, b, n."""
-    held = sizes.join(hot.groupBy("set_id").agg(F.collect_set("id").alias("ids")), "set_id")
-    held = staged(held, "held")
-    mostly = F.size("ids") >= F.col("n") * share
-    n_all, n_mostly = held.agg(F.count(F.lit(1)), F.count_if(mostly)).first()
-    tiles_all, tiles_mostly = -(-n_all // DENSE_SETS), -(-n_mostly // DENSE_SETS)
-    if not n_mostly:
-        return held.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.col("n").cast("bigint").alias("n")).limit(0)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("set_id"), F.lit(n)).cast("int")
-    rows = held.filter(mostly).select("set_id", "n", "ids", F.lit(True).alias("small"), own(tiles_mostly).alias("ta"), every(tiles_all).alias("tb"))
-    rows = rows.unionByName(held.select("set_id", "n", "ids", F.lit(False).alias("small"), every(tiles_mostly).alias("ta"), own(tiles_all).alias("tb")))
+def _held(hot: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
+    """set_id, n, h (its hot identifiers) and these as `ids`, for sets that have any; and the sets of a dense tile."""
+    held = staged(sizes.join(hot.groupBy("set_id").agg(F.collect_list("id").alias("ids"), F.count(F.lit(1)).cast("int").alias("h")), "set_id"), "held")
+    sets, values = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("h"), F.lit(0))).first()
+    return held, max(16, min(DENSE_SETS, DENSE_VALUES * sets // max(values, 1)))
+
+
+def _product(left: np.ndarray, right: np.ndarray, sets: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Common identifiers of the sets at `left` with those at `right`: 0/1 tiles of 4,096 identifiers, multiplied and added up."""
+    used = np.unique(np.concatenate([left, right]))
+    _, row, ids = next(slices(lists.take(pa.array(used)), 1 << 62))
+    _, column = np.unique(ids, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    own, other = np.searchsorted(used, left), np.searchsorted(used, right)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        part = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        tile = np.zeros((len(used), 4096), dtype=np.float32)
+        tile[row[part], column[part] - lo] = 1
+        total += tile[own] @ tile[other].T
+    return total
+
+
+def _hot_counts(pairs: DataFrame, held: DataFrame, tile_sets: int) -> DataFrame:
+    """a, b, n: the hot identifiers that the sets of each pair share, where there are any.
+
+    Sets are hashed to tiles; a pair of tiles has the sets that pairs name there, writes their hot columns as 0/1 tiles, multiplies these
+    and reads the pairs' entries from the product. A set goes to at most as many pairs of tiles as it has pairs.
+    """
+    tiles = -(-held.count() // tile_sets)
+    of = lambda x: F.pmod(F.xxhash64(x), F.lit(max(tiles, 1))).cast("int")
+    keyed = pairs.select("a", "b", of("a").alias("ta"), of("b").alias("tb"))
+    names = lambda x: keyed.select(F.col("ta").alias("xa"), F.col("tb").alias("xb"), F.col(x).alias("set_id"))
+    named = names("a").unionByName(names("b")).distinct().join(held.select("set_id", "ids"), "set_id").select("xa", "xb", "set_id", "ids")
+
+    def count(wanted: pa.Table, rows: pa.Table) -> pa.Table:
+        a, b, sets = wanted.column("a").to_numpy(), wanted.column("b").to_numpy(), rows.column("set_id").to_numpy()
+        order = np.argsort(sets)
+        at = [order[np.searchsorted(sets[order], x)] for x in (a, b)]
+        (left, i), (right, j) = (np.unique(x, return_inverse=True) for x in at)
+        n = _product(left, right, sets, rows.column("ids").combine_chunks())[i, j].astype(np.int64)
+        return pa.table({"a": a[n > 0], "b": b[n > 0], "n": n[n > 0]})
+
+    return keyed.groupBy("ta", "tb").cogroup(named.groupBy("xa", "xb")).applyInArrow(count, "a bigint, b bigint, n bigint")
+
+
+def _dense_pairs(held: DataFrame, share: float, tile_sets: int) -> DataFrame:
+    """Pairs that reach `share` by hot identifiers alone, from dense tiles of sets; rows a, b, n.
+
+    The smaller set of such a pair consists of hot identifiers to that share. Those sets are put into tiles by their size, all sets into
+    tiles by their hot identifiers; two tiles meet only if some set of the second has as many of these as the smallest of the first needs.
+    """
+    mostly = numbered(held.filter(F.col("h") >= F.col("n") * share), ["n", "set_id"], "_row", 0).withColumn("ta", F.floor(F.col("_row") / tile_sets).cast("int"))
+    every = numbered(held, ["h", "set_id"], "_row", 0).withColumn("tb", F.floor(F.col("_row") / tile_sets).cast("int"))
+    mostly, every = (staged(x.select("set_id", "n", "ids", t), "tiles") for x, t in ((mostly, "ta"), (every, "tb")))
+    least = mostly.groupBy("ta").agg(F.min("n").alias("_least"))
+    most = every.groupBy("tb").agg(F.max(F.size("ids")).alias("_most"))
+    meet = staged(least.join(most, F.col("_most") >= F.col("_least") * share).select("ta", "tb"), "meet")
+    small = mostly.join(meet, "ta").select("set_id", "n", "ids", F.lit(True).alias("small"), "ta", "tb")
+    rows = small.unionByName(every.join(meet, "tb").select("set_id", "n", "ids", F.lit(False).alias("small"), "ta", "tb"))
 
     def product(group: pa.Table) -> pa.Table:
         sets, n, small = (group.column(c).to_numpy() for c in ("set_id", "n", "small"))
-        lists = group.column("ids").combine_chunks()
-        _, row, ids = next(slices(lists, 1 << 62))
-        _, column = np.unique(ids, return_inverse=True)
         left, right = np.flatnonzero(small), np.flatnonzero(~small)
-        position = np.empty(len(sets), dtype=np.int64)
-        position[left], position[right] = np.arange(len(left)), np.arange(len(right))
-        total = np.zeros((len(left), len(right)), dtype=np.float32)
-        for lo in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
-            now = (column >= lo) & (column < lo + 4096)
-            tile = []
-            for side, size in ((True, len(left)), (False, len(right))):
-                pick = now & (small[row] == side)
-                tile.append(np.zeros((size, 4096), dtype=np.float32))
-                tile[-1][position[row[pick]], column[pick] - lo] = 1
-            total += tile[0] @ tile[1].T
+        total = _product(left, right, sets, group.column("ids").combine_chunks())
         i, j = np.nonzero((total >= share * np.minimum(n[left][:, None], n[right][None, :])) & (total > 0) & (sets[left][:, None] != sets[right][None, :]))
         a, b = sets[left][i], sets[right][j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": total[i, j].astype(np.int64)})
@@ -221,9 +258,9 @@ def set_overlaps(sets: DataFrame, set_id: str = "set_id", ids: str = "users", mi
 
     Identifiers are hashed into blocks; a task encodes its block as 0/1 tiles, multiplies each transposed tile by itself and adds up
     the products; blocks are then summed. An identifier that only one set has can't count and is left out. Hot identifiers (in more
-    than `hot_degree` sets) would give a number of pairs that grows with the square of their sets: they are counted for pairs that
-    share another identifier and could still reach the share; pairs that reach it by hot identifiers alone need a set that consists
-    of hot identifiers to that share, and those sets' tiles are multiplied with all others'.
+    than `hot_degree` sets) would give a number of pairs that grows with the square of their sets: pairs that share another identifier
+    and could still reach the share have theirs counted by products of tiles of just these sets, see `_hot_counts`; pairs that reach it
+    by hot identifiers alone need a set that consists of them to that share, see `_dense_pairs`.
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be above 0 and at most 1")
@@ -236,21 +273,19 @@ def set_overlaps(sets: DataFrame, set_id: str = "set_id", ids: str = "users", mi
     sizes = staged(set_sizes(clean), "sizes")
     light = parts.filter("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     hot = parts.filter("n = 0").select(F.col("a").alias("set_id"), F.col("b").alias("id")).distinct()
-    any_hot = bool(hot.take(1))
-    held = hot.groupBy("set_id").agg(F.collect_set("id").alias("ids"))
-    own = sizes.join(held, "set_id", "left") if any_hot else sizes.withColumn("ids", F.lit(None).cast("array<bigint>"))
-    side = lambda x: own.select(F.col("set_id").alias(x), F.col("n").alias(f"size_{x}"), F.col("ids").alias(f"hot_{x}"))
+    side = lambda x: sizes.select(F.col("set_id").alias(x), F.col("n").alias(f"size_{x}"))
     least = F.least("size_a", "size_b") * F.lit(min_share)
-    more = F.coalesce(F.least(F.size("hot_a"), F.size("hot_b")), F.lit(0))
-    more = F.when(F.col("hot_a").isNull() | F.col("hot_b").isNull(), F.lit(0)).otherwise(more)
-    pairs = light.join(side("a"), "a").join(side("b"), "b").filter(F.col("n") + more >= least)
-    both = F.coalesce(F.when(F.col("hot_a").isNotNull() & F.col("hot_b").isNotNull(), F.size(F.array_intersect("hot_a", "hot_b"))), F.lit(0))
-    pairs = pairs.withColumn("shared", (F.col("n") + both).cast("bigint")).filter(F.col("shared") >= least)
-    out = pairs.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "shared", "size_a", "size_b")
-    if any_hot:
-        dense = _dense_pairs(hot, sizes, min_share)
-        known = out.select("set_a", "set_b")
-        a, b = (sizes.select(F.col("set_id").alias(f"set_{x}"), F.col("n").alias(f"size_{x}")) for x in "ab")
-        dense = dense.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.col("n").alias("shared")).join(known, ["set_a", "set_b"], "left_anti")
-        out = out.unionByName(dense.join(a, "set_a").join(b, "set_b").select("set_a", "set_b", "shared", "size_a", "size_b"))
-    return out
+    named = ["set_a", "set_b", "shared", "size_a", "size_b"]
+    shown = lambda pairs, n: pairs.withColumn("shared", n.cast("bigint")).filter(F.col("shared") >= least).select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), *named[2:])
+    if not hot.take(1):
+        return shown(light.join(side("a"), "a").join(side("b"), "b"), F.col("n"))
+    held, tile_sets = _held(hot, sizes)
+    own = sizes.join(held.select("set_id", "h"), "set_id", "left")
+    side = lambda x: own.select(F.col("set_id").alias(x), F.col("n").alias(f"size_{x}"), F.coalesce("h", F.lit(0)).alias(f"h_{x}"))
+    more = F.least("h_a", "h_b")
+    pairs = staged(light.join(side("a"), "a").join(side("b"), "b").filter(F.col("n") + more >= least).withColumn("more", more), "pairs")
+    counts = _hot_counts(pairs.filter("more > 0"), held, tile_sets).withColumnRenamed("n", "both")
+    out = staged(shown(pairs.join(counts, ["a", "b"], "left"), F.col("n") + F.coalesce("both", F.lit(0))), "overlaps")
+    dense = _dense_pairs(held, min_share, tile_sets).select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.col("n").alias("shared")).join(out.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti")
+    a, b = (sizes.select(F.col("set_id").alias(f"set_{x}"), F.col("n").alias(f"size_{x}")) for x in "ab")
+    return out.unionByName(dense.join(a, "set_a").join(b, "set_b").select(*named))
