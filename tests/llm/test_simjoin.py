@@ -30,23 +30,22 @@ def frame(spark, sets, extra=()):
 
 
 @pytest.mark.parametrize(("universe", "longest", "threshold", "full"), [(40, 8, 0.6, 6), (1000, 40, 0.6, 6), (1000, 40, 0.6, 1), (30, 12, 0.8, 2), (200, 20, 0.3, 6), (50, 6, 1.0, 6)])
-def test_within_a_table(spark, monkeypatch, universe, longest, threshold, full):
-    monkeypatch.setattr(simjoin, "SUBSET_TOKENS", full)
+def test_within_a_table(spark, universe, longest, threshold, full):
     sets = records(random.Random(universe + full), 160, universe, longest)
     df = frame(spark, sets, [(0, list(sets[0]), "x", 1), (900, [], "x", 1), (901, None, "x", 1), (902, [None], "x", 1), (None, [1, 2], "x", 1)])
-    found = simjoin.similar_pairs(df, "id", "songs", threshold=threshold)
+    found = simjoin.similar_pairs(df, "id", "songs", threshold=threshold, shape=simjoin.Shape(most=full))
     expected = {(a, b) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if similar(x, y, threshold)}
     rows = [(r.id_a, r.id_b) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected
 
 
-def test_few_segments(spark, monkeypatch):
-    """Segments that hold several tokens throughout leave hard records, which are still found."""
-    monkeypatch.setattr(simjoin, "SEGMENTS_A_TOKEN", 1)
-    monkeypatch.setattr(simjoin, "SUBSET_TOKENS", 2)
+@pytest.mark.parametrize("each", [0.5, 1, 8])
+def test_segments(spark, each):
+    """Whatever the number of segments, and however many records are hard for them, all pairs are found."""
     sets = records(random.Random(8), 150, 300, 12)
     expected = {(a, b) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if similar(x, y, 0.6)}
-    assert {(r.id_a, r.id_b) for r in simjoin.similar_pairs(frame(spark, sets), "id", "songs", threshold=0.6).collect()} == expected
+    for most in (1, 2, 10):
+        assert {(r.id_a, r.id_b) for r in simjoin.similar_pairs(frame(spark, sets), "id", "songs", threshold=0.6, shape=simjoin.Shape(each, most)).collect()} == expected
 
 
 @pytest.mark.parametrize("least", [1, 5])

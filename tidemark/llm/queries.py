@@ -54,6 +54,11 @@ def p2_all_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d, ANY_SHARE)
 
 
+def hot_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """p2_overlaps of the commons with identifiers hot from five sets on, so that they are counted by dense tiles."""
+    return overlaps.set_overlaps(table(spark, d, "frequent_pairs"), "set_id", "commons", 0.25, hot_degree=4).select(F.lit("commons").alias("field_name"), "*")
+
+
 def _pair_table(spark: SparkSession, d: str) -> cooccurrence.PairTable:
     return cooccurrence.load_lists(cooccurrence.PairTable(spark, scratch(spark, "pairs")), table(spark, d, "itemset_user_set"))
 
@@ -99,6 +104,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return named(songs, "songs").unionByName(named(users, "users"))
 
 
+def similar_baskets_by_rarest(spark: SparkSession, d: str) -> DataFrame:
+    """The baskets of p5_found with deletions of single tokens only, so that most are joined by their rarest values."""
+    return simjoin.similar_pairs(table(spark, d, "user_transactions"), "tx_id", "songs", threshold=0.6, least=5, shape=simjoin.Shape(most=1)).select("id_a", "id_b")
+
+
 def _links(spark: SparkSession, d: str, linked_only: bool) -> DataFrame:
     songs = simjoin.record_links(table(spark, d, "user_transactions"), "tx_id", "songs", threshold=0.6, least=5)
     users = simjoin.record_links(table(spark, d, "frequent_items"), "set_id", "users", table(spark, d, "frequent_pairs"), "set_id", "commons", threshold=0.6, linked_only=linked_only)
@@ -123,7 +133,7 @@ def _clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     probes = table(spark, d, "song_probes").filter("probe_no is not null and song_id is not null").distinct()
-    named = probes.join(_clusters(spark, d).select("song_id", "cluster"), "song_id")
+    named = probes.join(_clusters(spark, d).select("song_id", F.col("nearest").alias("cluster")), "song_id")  # noise counts with the nearest cluster
     a, b = (named.select("probe_no", "cluster", F.col("song_id").alias(f"song_{x}")) for x in "ab")
     return a.join(b, ["probe_no", "cluster"]).filter("song_a < song_b").select("probe_no", "song_a", "song_b")
 
@@ -162,5 +172,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, p3_found, p3_pairs, p3_all_pairs, p3_incremental, p5_found, p5_links, p5_all_links, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
+    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, hot_overlaps, p3_found, p3_pairs, p3_all_pairs, p3_incremental, p5_found, p5_links, p5_all_links, similar_baskets_by_rarest, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
     return {f.__name__: f for f in own}

@@ -18,10 +18,6 @@ from .kernels import mix64, runs, slices, within
 FREQUENCY_CELLS = 1 << 16
 #: Most bits of the filter of tokens of the other table, whatever the tables' sizes.
 FILTER_BITS = 1 << 27
-#: Segments for each token of a class's largest record.
-SEGMENTS_A_TOKEN = 8
-#: Most tokens of a segment whose subsets are indexed; records with a fuller one are hard.
-SUBSET_TOKENS = 6
 #: Growth of the record sizes in a class.
 CLASS_GROWTH = 1.2
 #: Tables of up to this number of short rows are broadcast, beyond it shuffled: classes of copies, and candidates.
@@ -29,6 +25,18 @@ BROADCAST_ROWS = 200_000
 SLICE_VALUES = 500_000
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How the universe is split: `each` segments for a token of a class's largest record, so a segment holds 1 / each of its tokens on
+    average; and the `most` tokens of a segment whose deletions are indexed, records with a fuller one are hard."""
+
+    each: float = 1.0
+    most: int = 10
+
+
+SHAPE = Shape()
+
+
 def size_classes(most: int = 1 << 40) -> np.ndarray:
     """First size of each class; the last entry is above `most`."""
     bounds = [1]
@@ -45,12 +53,12 @@ def least_common(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
 
 
-def _segments(record: np.ndarray, token: np.ndarray, size_class: np.ndarray):
+def _segments(record: np.ndarray, token: np.ndarray, size_class: np.ndarray, each: float):
     """Occurrences in order of their segment: (order, starts, tokens per segment, token hashes, key base).
 
-    The universe of a class has SEGMENTS_A_TOKEN segments for each token of its largest record.
+    The universe of a class has `each` segments for each token of its largest record.
     """
-    count = ((BOUNDS[size_class + 1] - 1) * SEGMENTS_A_TOKEN).astype(np.uint64)
+    count = np.ceil((BOUNDS[size_class + 1] - 1) * each).astype(np.uint64)
     segment = (mix64(token, 3) % count).astype(np.int64)
     order = np.lexsort((segment, record))
     starts, sizes = runs(record[order], segment[order])
@@ -65,24 +73,24 @@ def _class_of(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(BOUNDS, size, "right") - 1
 
 
-def index_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def index_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray, shape: Shape = SHAPE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, key) for each segment of the record's class that holds tokens, with those of the segment less one token, and less more
-    where it holds more than two; and the records with a segment too full for that."""
-    order, starts, sizes, hashed, base = _segments(record, token, _class_of(size)[record])
+    where it holds more than two; and the records with a segment of more than `shape.most` tokens, too full for that."""
+    order, starts, sizes, hashed, base = _segments(record, token, _class_of(size)[record], shape.each)
     found = []
     for n in np.unique(sizes):
-        if n > SUBSET_TOKENS:
+        if n > shape.most:
             continue
         at = starts[sizes == n]
         own = hashed[at[:, None] + np.arange(n)[None, :]]
         for subset in range(1, 1 << int(n)):
             part = [i for i in range(n) if subset >> i & 1]
             found.append((record[order][at], _key(own[:, part].sum(axis=1, dtype=np.uint64), base[at])))
-    full = np.unique(record[order][starts[sizes > SUBSET_TOKENS]])
+    full = np.unique(record[order][starts[sizes > shape.most]])
     return *(np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(2)), full
 
 
-def probe_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray, threshold: float, frequency: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probe_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray, threshold: float, frequency: np.ndarray | None, shape: Shape = SHAPE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, key) that find every similar record at least as large that isn't too full; and the records with too few segments.
 
     In each class that a partner may be in, at most M of the record's values are missing from the partner. A missing value spoils one
@@ -99,7 +107,7 @@ def probe_signatures(record: np.ndarray, token: np.ndarray, size: np.ndarray, th
         if not len(rec):
             continue
         own = (first + step)[rec]
-        order, starts, sizes, hashed, base = _segments(rec, tok, own)
+        order, starts, sizes, hashed, base = _segments(rec, tok, own, shape.each)
         of = rec[order][starts]
         least = np.maximum(BOUNDS[own[order][starts]], size[of])
         need = np.maximum(size[of] - least_common(size[of], least, threshold), 0) + 1
@@ -133,7 +141,7 @@ def _raw(df: DataFrame, id_col: str, values: str) -> DataFrame:
 RECORD = "id bigint, h1 bigint, h2 bigint, n int, bits bigint, hard boolean, tokens array<bigint>"
 
 
-def _records(raw: DataFrame, least: int, threshold: float, other: tuple | None = None) -> DataFrame:
+def _records(raw: DataFrame, least: int, threshold: float, other: tuple | None = None, shape: Shape = SHAPE) -> DataFrame:
     """Records with distinct, sorted tokens, two hashes of them and `hard`, which marks those that segments don't suffice for.
 
     Left out are records below `least` values, and those of which less than `threshold` is in the filter of the `other` table.
@@ -163,8 +171,8 @@ def _records(raw: DataFrame, least: int, threshold: float, other: tuple | None =
                 starts = np.cumsum(size) - size
                 h1, h2 = (np.add.reduceat(mix64(token, seed), starts).view(np.int64) for seed in (41, 42))
                 hard = np.zeros(len(who), dtype=bool)
-                hard[index_signatures(row, token, size)[2]] = True
-                hard[probe_signatures(row, token, size, threshold, None)[2]] = True
+                hard[index_signatures(row, token, size, shape)[2]] = True
+                hard[probe_signatures(row, token, size, threshold, None, shape)[2]] = True
                 lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(token)).astype(np.int32)), pa.array(token))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first + who]), pa.array(h1), pa.array(h2), pa.array(size.astype(np.int32)), pa.array(_bitmap(row, token, len(who))), pa.array(hard), lists], names=["id", "h1", "h2", "n", "bits", "hard", "tokens"])
 
@@ -218,7 +226,7 @@ def _frequencies(content: DataFrame) -> np.ndarray:
     return out
 
 
-def _signatures(content: DataFrame, probe: bool, threshold: float, frequency: np.ndarray) -> DataFrame:
+def _signatures(content: DataFrame, probe: bool, threshold: float, frequency: np.ndarray, shape: Shape) -> DataFrame:
     """key, rec, side, n, bits for the index or the probes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +234,7 @@ def _signatures(content: DataFrame, probe: bool, threshold: float, frequency: np
             rec, side, n, bits = (batch.column(i).to_numpy() for i in range(4))
             for first, row, token in slices(batch.column(4), SLICE_VALUES):
                 size = np.bincount(row)
-                who, key, _ = probe_signatures(row, token, size, threshold, frequency) if probe else index_signatures(row, token, size)
+                who, key, _ = probe_signatures(row, token, size, threshold, frequency, shape) if probe else index_signatures(row, token, size, shape)
                 who = first + who
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rec[who]), pa.array(side[who]), pa.array(n[who]), pa.array(bits[who])], names=["key", "rec", "side", "n", "bits"])
 
@@ -265,19 +273,19 @@ class Joined:
 KEYS = ["side", "h1", "h2", "n"]
 
 
-def join_classes(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1) -> Joined:
+def join_classes(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1, shape: Shape = SHAPE) -> Joined:
     """Similar classes of records, see `similar_pairs`. Within one table a link is there once, its classes in any order."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     if right is None:
-        rows = _records(_raw(left, left_id, left_values), least, threshold).withColumn("side", F.lit(0))
+        rows = _records(_raw(left, left_id, left_values), least, threshold, None, shape).withColumn("side", F.lit(0))
     else:
         raw = [_raw(left, left_id, left_values), _raw(right, right_id, right_values)]
         n = [r.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0] for r in raw]
         few, many = (0, 1) if n[0] <= n[1] else (1, 0)
-        large = staged(_records(raw[many], least, threshold, _filter_of(raw[few], n[few])).withColumn("side", F.lit(many)), "large")
+        large = staged(_records(raw[many], least, threshold, _filter_of(raw[few], n[few]), shape).withColumn("side", F.lit(many)), "large")
         rest = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        rows = large.unionByName(_records(raw[few], least, threshold, _filter_of(large, rest)).withColumn("side", F.lit(few)))
+        rows = large.unionByName(_records(raw[few], least, threshold, _filter_of(large, rest), shape).withColumn("side", F.lit(few)))
     rows = staged(rows.withColumn("rec", F.monotonically_increasing_id()), "records")  # rec is fixed by staging
     several = staged(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*KEYS), "copied")
     copied = several.count()
@@ -287,7 +295,7 @@ def join_classes(left: DataFrame, left_id: str, left_values: str, right: DataFra
         content = rows.join(listed, KEYS, "left_anti").unionByName(staged(rows.join(listed, KEYS, "left_semi").dropDuplicates(KEYS).select(*rows.columns), "classes"))
     content = content.drop("id")
     frequency = _frequencies(content)
-    index, probes = _signatures(content, False, threshold, frequency), _signatures(content, True, threshold, frequency)
+    index, probes = _signatures(content, False, threshold, frequency, shape), _signatures(content, True, threshold, frequency, shape)
     named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rec", "side", "n", "bits")])
     cross = (F.col("side_a") != F.col("side_b")) if right is not None else (F.col("rec_a") != F.col("rec_b"))
     budget = F.floor((F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
@@ -308,10 +316,10 @@ def join_classes(left: DataFrame, left_id: str, left_values: str, right: DataFra
     checked = pairs.join(own_side("a", 0), "ra").join(own_side("b", last), "rb").withColumn("_c", F.size(F.array_intersect("ta", "tb")))
     checked = checked.withColumn("similarity", F.col("_c") / (F.col("n_a") + F.col("n_b") - F.col("_c"))).filter(F.col("similarity") >= threshold)
     links = checked.select(*[f"{k}_{x}" for x in "ab" for k in KEYS], "similarity")
-    return Joined(rows.select(*KEYS, "id").distinct(), links, listed if copied else None)
+    return Joined(rows.select(*KEYS, "id").distinct(), staged(links, "links"), listed if copied else None)
 
 
-def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1) -> DataFrame:
+def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFrame | None = None, right_id: str = "", right_values: str = "", threshold: float = 0.6, least: int = 1, shape: Shape = SHAPE) -> DataFrame:
     """Pairs of records whose distinct values overlap with common / united >= `threshold`, within `left` or between two tables.
 
     Columns: id_a, id_b, similarity. Within one table id_a < id_b; between two id_a is of `left` and id_b of `right`. Records of fewer
@@ -324,9 +332,10 @@ def similar_pairs(left: DataFrame, left_id: str, left_values: str, right: DataFr
     that can't reach the threshold because too few of their values occur in the other are left out first, by a filter of bounded
     size. The universe of values is hashed into segments, whose number depends on the size class; the smaller record of a pair probes
     the segments of its rarest values in the larger's class, which has indexed its segments, whole and with tokens deleted, see
-    `probe_signatures`. Records that this can't suffice for (many tokens in one segment) are joined by their rarest values instead.
+    `probe_signatures`. Records that this can't suffice for (more than `shape.most` tokens in one segment, or too few segments) are joined by
+    their rarest values instead.
     """
-    joined = join_classes(left, left_id, left_values, right, right_id, right_values, threshold, least)
+    joined = join_classes(left, left_id, left_values, right, right_id, right_values, threshold, least, shape)
     own = lambda x: joined.members.select(*[F.col(k).alias(f"{k}_{x}") for k in KEYS], F.col("id").alias(f"id_{x}"))
     between = joined.links.join(own("a"), [f"{k}_a" for k in KEYS]).join(own("b"), [f"{k}_b" for k in KEYS])
     out = between.select("id_a", "id_b", "similarity")

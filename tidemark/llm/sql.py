@@ -77,11 +77,13 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"SELECT field_name, set_a, set_b FROM ({_both(0.5)})",
         "p2_overlaps": _both(0.25),
         "p2_all_overlaps": _both(0),
+        "hot_overlaps": f"WITH {_overlaps('c', 'frequent_pairs', 'commons', 0.25)} SELECT * FROM c",
         "p3_found": P3_FOUND,
         "p3_pairs": P3_PAIRS,
         "p3_all_pairs": P3_ALL_PAIRS,
         "p3_incremental": P3_FOUND,
         "p5_found": P5,
+        "similar_baskets_by_rarest": _P5 + "SELECT id_a, id_b FROM s",
         "p5_links": P5_LINKS,
         "p5_all_links": P5_ALL_LINKS,
     }
