@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -14,8 +15,8 @@ def test_parts_have_the_texts_own_tokens(monkeypatch):
     whole = ENCODE(text)
     monkeypatch.setattr(tokens, "PART_CHARS", 50)
     cut = list(parts(text))
-    assert "".join(cut) == text and len(cut) > 100
-    assert [t for x in cut for t in ENCODE(x)] == whole
+    assert "".join(x for x, _ in cut) == text and len(cut) > 100
+    assert [t for x, _ in cut for t in ENCODE(x)] == whole
     assert SIZES[whole].sum() == len(text.encode())
 
 
@@ -25,6 +26,17 @@ def test_very_long_runs(text):
     assert SIZES[found].sum() == len(text)
 
 
+@pytest.mark.parametrize("run", ["\n" * 30, " " * 41, "\n " * 20, "\t" * 25 + "  ", "\u2003" * 22])
+@pytest.mark.parametrize("after", ["", "x y", "!", "\x1cz", "7"])
+def test_runs_of_blanks_are_one_match(monkeypatch, run, after):
+    text = "some words " + run + after + (run + "end " + run if after else "")
+    whole = ENCODE(text)
+    monkeypatch.setattr(tokens, "PART_CHARS", 5)
+    monkeypatch.setattr(tokens, "_BLANKS", re.compile(rf"{tokens._BLANK}{{20,}}"))
+    assert any(single for _, single in parts(text))
+    assert ENCODE(text) == whole
+
+
 def test_columns_pass_through(spark):
     df = spark.createDataFrame([(1, "a b", None, 5), (None, None, "x", None), (3, "", "y", 1)], "doc_id bigint, text string, other string, n_tokens int")
     assert sorted(map(tuple, token_sizes(df).collect()), key=str) == sorted([(1, None, 2), (None, "x", 0), (3, "y", 0)], key=str)

@@ -19,43 +19,47 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 
 #: Texts of more characters are given to the library in parts, as it fails on very long runs of white space.
 PART_CHARS = 100_000
-#: A longer run of white space is cut, which may change the number of its tokens by one for each cut.
+#: A run of white space of so many characters is encoded as the one piece that the splitting pattern makes of it.
 BLANK_CHARS = 20_000
-_WORD_END = re.compile(r"(?<=\S)(?=\s)")
-_BLANKS = re.compile(r"\s{%d,}" % BLANK_CHARS)
+_BLANK = r"[^\S\x1c-\x1f]"  # white space as the splitting pattern knows it
+_WORD_END = re.compile(rf"(?<!{_BLANK})(?={_BLANK})")
+_BLANKS = re.compile(rf"{_BLANK}{{{BLANK_CHARS},}}")
+_LOADED: dict[str, tuple] = {}
 
 
-def parts(text: str) -> Iterator[str]:
-    """`text` cut at ends of words, where the splitting pattern always ends a match, so the parts have the text's own tokens."""
+def parts(text: str) -> Iterator[tuple[str, bool]]:
+    """`text` cut where the splitting pattern always ends a match, so the parts have the text's own tokens; and whether a part is a single
+    match: a long run of white space, without its last character if a word follows."""
     start = 0
     while start < len(text):
         found = _WORD_END.search(text, start + PART_CHARS) if len(text) - start > PART_CHARS else None
         end = found.start() if found else len(text)
         at = start
         for run in _BLANKS.finditer(text, start, end):
-            for cut in range(run.start(), run.end(), BLANK_CHARS):
-                if cut > at:
-                    yield text[at:cut]
-                    at = cut
-        yield text[at:end]
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            if run.start() > at:
+                yield text[at : run.start()], False
+            yield text[run.start() : stop], True
+            at = stop
+        if at < end:
+            yield text[at:end], False
         start = end
 
 
 def tokenizer(path: str):
-    """(encode function, bytes of each token id), loaded once in a worker: it is kept with the library, as this function may be a copy."""
+    """(encode function, bytes of each token id), loaded once in a worker."""
     import tiktoken
 
-    loaded = tiktoken.__dict__.setdefault("_kept_encodings", {})
-    if path not in loaded:
+    if path not in _LOADED:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             sizes[rank] = len(token)
         own = tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = own.encode_ordinary
-        loaded[path] = (lambda text: whole(text) if len(text) <= PART_CHARS else [t for part in parts(text) for t in whole(part)]), sizes
-    return loaded[path]
+        whole, single = own.encode_ordinary, own._encode_single_piece
+        _LOADED[path] = (lambda text: whole(text) if len(text) <= PART_CHARS else [t for part, run in parts(text) for t in (single(part) if run else whole(part))]), sizes
+    return _LOADED[path]
 
 
 def token_sizes(docs: DataFrame, text: str = "text", name: str = "n_tokens", tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
