@@ -27,15 +27,18 @@ def legs(flights: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame
     return named(flown.filter(F.col("origin") == start), 1), named(flown.filter(F.col("dest") == end), 2)
 
 
-def connect(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Legs that meet: the same day and airport, the first landing before the second departs. Null keys don't meet."""
+def connect(first: DataFrame, second: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Legs that meet: the same day and airport, the first landing before the second departs. Null keys don't meet. With `tasks` both
+    sides are placed among so many tasks by day and airport, which the join keeps; else the session and the planner decide."""
+    if tasks:
+        first, second = first.repartition(tasks, "flight_date1", "dest1"), second.repartition(tasks, "flight_date2", "origin2")
     return first.join(second, (F.col("flight_date1") == F.col("flight_date2")) & (F.col("dest1") == F.col("origin2")) & (F.col("arr_time1") < F.col("dep_time2")))
 
 
-def connection_delays(flights: DataFrame, start: str = "ORD", end: str = "JFK", first: tuple[int, int] = FIRST, last: tuple[int, int] = LAST) -> DataFrame:
+def connection_delays(flights: DataFrame, start: str = "ORD", end: str = "JFK", first: tuple[int, int] = FIRST, last: tuple[int, int] = LAST, tasks: int | None = None) -> DataFrame:
     """flight_date, total_delay for each connection. Repeated flights give repeated connections."""
     one, two = legs(flights.filter(in_period(F.col("year"), F.col("month"), first, last)), start, end)
-    return connect(one, two).select(F.col("flight_date1").alias("flight_date"), (F.col("arr_delay1") + F.col("arr_delay2")).alias("total_delay"))
+    return connect(one, two, tasks).select(F.col("flight_date1").alias("flight_date"), (F.col("arr_delay1") + F.col("arr_delay2")).alias("total_delay"))
 
 
 def connection_delays_filtered_late(flights: DataFrame, both: bool, start: str = "ORD", end: str = "JFK", first: tuple[int, int] = FIRST, last: tuple[int, int] = LAST) -> DataFrame:

@@ -91,7 +91,7 @@ def wide_table_upserts(spark: SparkSession, d: str) -> DataFrame:
 def letter_sink(spark: SparkSession, d: str) -> DataFrame:
     """Word counts written to a folder for each letter and read again."""
     path = scratch(spark, "letters")
-    writers.write_by_letter(wc_counts(spark, d), path)
+    writers.write_by_letter(wc_counts(spark, d), path, tasks=5)
     return spark.read.parquet(path).select("letter", "word", "cnt")
 
 

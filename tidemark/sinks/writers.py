@@ -25,9 +25,12 @@ def write_tabs(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select(F.concat_ws("\t", *[plain(c) for c in df.columns]).alias("value")).write.mode(mode).text(path)
 
 
-def write_by_letter(counts: DataFrame, path: str, word: str = "word", mode: str = "errorifexists") -> None:
-    """Word counts as Parquet, one folder for each first letter. Tasks share the words by ranges, so a letter may be written by several."""
-    counts.withColumn("letter", F.lower(F.substring(word, 1, 1))).repartitionByRange("letter", word).write.mode(mode).partitionBy("letter").parquet(path)
+def write_by_letter(counts: DataFrame, path: str, word: str = "word", mode: str = "errorifexists", tasks: int | None = None) -> None:
+    """Word counts as Parquet, one folder for each first letter. Tasks, `tasks` of them if given, share the words by ranges, so a letter may
+    be written by several."""
+    ranged = counts.withColumn("letter", F.lower(F.substring(word, 1, 1)))
+    ranged = ranged.repartitionByRange(tasks, "letter", word) if tasks else ranged.repartitionByRange("letter", word)
+    ranged.write.mode(mode).partitionBy("letter").parquet(path)
 
 
 def write_levels(levels: dict[int, DataFrame], path: str, name: str = "pass", mode: str = "overwrite") -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +57,10 @@ def flights_of(raw: DataFrame) -> DataFrame:
     )
 
 
-def flights_of_text(text: DataFrame) -> DataFrame:
-    """Flights from the 55 text columns of a flight record; rows are numbered by a surrogate, unique but not dense."""
+def flights_of_text(text: DataFrame, row_id: Column | None = None) -> DataFrame:
+    """Flights from the 55 text columns of a flight record; row_id is a surrogate, unique within the frame but not dense, if not given."""
     return text.select(
-        F.monotonically_increasing_id().alias("row_id"), number(F.col("Year"), "int").alias("year"), number(F.col("Month"), "int").alias("month"), F.col("FlightDate").try_cast("date").alias("flight_date"),
+        (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"), number(F.col("Year"), "int").alias("year"), number(F.col("Month"), "int").alias("month"), F.col("FlightDate").try_cast("date").alias("flight_date"),
         F.col("UniqueCarrier").alias("carrier"), F.col("Origin").alias("origin"), F.col("Dest").alias("dest"), number(F.col("DepTime"), "int").alias("dep_time"), number(F.col("ArrTime"), "int").alias("arr_time"),
         number(F.col("ArrDelayMinutes"), "double").alias("arr_delay"), number(F.col("Cancelled"), "double").alias("cancelled"), number(F.col("Diverted"), "double").alias("diverted"),
     )
