@@ -171,6 +171,43 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"), 2000, 100)
 
 
+def cluster_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p7_clusters: every song that has all features is in one cluster or noise, and the clusters are four to seven."""
+    found = clusters.describe(_clusters(spark, d), "song_id", FEATURES)
+    return found.agg(F.sum("size").alias("songs"), F.count_if("cluster >= 0").between(4, 7).alias("as_many"), F.max(F.when(F.col("cluster") < 0, F.col("size")).otherwise(0)).alias("_noise"), F.sum("close").alias("_close")).select(
+        "songs", "as_many", (F.col("_noise") == F.col("_close")).alias("noise_is_near")
+    )
+
+
+def packing_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p8_packed: all texts, those that fit uncut, nothing above 2,000 tokens or its window, little unused."""
+    packed = staged(p8_packed(spark, d), "packed")
+    texts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
+    cut = texts.agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("k") > 1) & (F.col("n") <= 2000)).alias("cut_small"))
+    windows = packed.filter("container is not null").groupBy("container", "window", "tier").agg(F.sum("n_tokens").alias("n"))
+    full = windows.groupBy("container").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > F.shiftright(F.lit(2000), F.col("tier"))).alias("over"))
+    held = full.agg(F.coalesce(F.count_if((F.col("n") > 2000) | (F.col("over") > 0)), F.lit(0)).alias("overfull"), (F.sum("n") >= F.count(F.lit(1)) * 2000 * 0.98 - 2000).alias("well_filled"))
+    return cut.crossJoin(F.broadcast(held))  # one row each
+
+
+def mix_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p9_shares: each source with texts has its share among those, within 0.01, and no text more copies than allowed."""
+    found = staged(p9_shares(spark, d), "shares")
+    whole = found.agg(F.sum(F.when(F.col("mix_tokens") > 0, F.col("target_share"))).alias("_whole"))
+    share = F.when(F.col("mix_tokens") > 0, F.col("target_share") / F.col("_whole")).otherwise(0.0)
+    joined = found.crossJoin(F.broadcast(whole))  # whole: one row
+    return joined.select("source", (F.col("texts") > 0).alias("has_texts"), (F.abs(F.col("actual_share") - share) < 0.01).alias("share_kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+def split_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and the MD5 of each text, put together from the pieces of p10_pieces without their overlaps where it has any."""
+    pieces = p10_pieces(spark, d).select("doc_id", F.struct("piece_no", "start", "end", "piece").alias("p"))
+    whole = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))  # a text and its overlaps
+    new = F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], (F.get(F.col("p"), i - 1)["end"] - x["start"] + 1).cast("int"), F.length(x["piece"]))))
+    joined = table(spark, d, "documents").select("doc_id", "text").join(whole.select("doc_id", F.array_join(new, "").alias("again")), "doc_id", "left")
+    return joined.select("doc_id", F.md5(F.coalesce("again", "text", F.lit(""))).alias("md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, hot_overlaps, p3_found, p3_pairs, p3_all_pairs, p3_incremental, p5_found, p5_links, p5_all_links, similar_baskets_by_rarest, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)
+    own = (p1_percentiles, p1_summaries, p2_found, p2_overlaps, p2_all_overlaps, hot_overlaps, p3_found, p3_pairs, p3_all_pairs, p3_incremental, p5_found, p5_links, p5_all_links, similar_baskets_by_rarest, p7_found, p7_clusters, p8_packed, p9_found, p9_mix, p9_shares, p10_found, p10_pieces, cluster_checks, packing_checks, mix_checks, split_round_trip)
     return {f.__name__: f for f in own}

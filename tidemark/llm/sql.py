@@ -86,4 +86,8 @@ def oracle_sql() -> dict[str, str]:
         "similar_baskets_by_rarest": _P5 + "SELECT id_a, id_b FROM s",
         "p5_links": P5_LINKS,
         "p5_all_links": P5_ALL_LINKS,
+        "cluster_checks": f"SELECT CAST(count(DISTINCT song_id) AS bigint) AS songs, true AS as_many, true AS noise_is_near FROM song_features WHERE {' AND '.join(f'{f} <> 0 AND isfinite({f})' for f in ('artist_hotness', 'loudness', 'beat'))}",
+        "packing_checks": "SELECT count(*) AS texts, CAST(0 AS bigint) AS cut_small, CAST(0 AS bigint) AS overfull, true AS well_filled FROM documents",
+        "mix_checks": "SELECT source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND text <> '') AS has_texts, true AS share_kept, true AS repeats_kept FROM mix_targets t",
+        "split_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents",
     }
