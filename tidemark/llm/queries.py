@@ -174,7 +174,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 def cluster_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of p7_clusters: every song that has all features is in one cluster or noise, and the clusters are four to seven."""
     found = clusters.describe(_clusters(spark, d), "song_id", FEATURES)
-    return found.agg(F.sum("size").alias("songs"), F.count_if("cluster >= 0").between(4, 7).alias("as_many"), F.max(F.when(F.col("cluster") < 0, F.col("size")).otherwise(0)).alias("_noise"), F.sum("close").alias("_close")).select(
+    return found.agg(F.sum("size").alias("songs"), F.count_if(F.col("cluster") >= 0).between(4, 7).alias("as_many"), F.max(F.when(F.col("cluster") < 0, F.col("size")).otherwise(0)).alias("_noise"), F.sum("close").alias("_close")).select(
         "songs", "as_many", (F.col("_noise") == F.col("_close")).alias("noise_is_near")
     )
 
@@ -185,7 +185,7 @@ def packing_checks(spark: SparkSession, d: str) -> DataFrame:
     texts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
     cut = texts.agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("k") > 1) & (F.col("n") <= 2000)).alias("cut_small"))
     windows = packed.filter("container is not null").groupBy("container", "window", "tier").agg(F.sum("n_tokens").alias("n"))
-    full = windows.groupBy("container").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > F.shiftright(F.lit(2000), F.col("tier"))).alias("over"))
+    full = windows.groupBy("container").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > F.floor(F.lit(2000) / F.pow(F.lit(2), F.col("tier")))).alias("over"))
     held = full.agg(F.coalesce(F.count_if((F.col("n") > 2000) | (F.col("over") > 0)), F.lit(0)).alias("overfull"), (F.sum("n") >= F.count(F.lit(1)) * 2000 * 0.98 - 2000).alias("well_filled"))
     return cut.crossJoin(F.broadcast(held))  # one row each
 
