@@ -3,13 +3,14 @@ import datetime
 import pytest
 
 from tidemark.operators import carrier_month, flights
-from tidemark.schemas import FLIGHT
 from tidemark.sources import readers
 
 from .conftest import SMALL, same_rows
 
 D1, D2 = datetime.date(2007, 6, 1), datetime.date(2007, 6, 2)
 
+FLIGHT = "row_id bigint, year int, month int, flight_date date, carrier string, origin string, dest string, dep_time int, arr_time int, arr_delay double, cancelled double, diverted double"
+
 
 def flight(n, date=D1, origin="ORD", dest="ATL", dep=800, arr=1000, delay=10.0, cancelled=0.0, diverted=0.0, carrier="AA"):
     return (n, date.year if date else None, date.month if date else None, date, carrier, origin, dest, dep, arr, delay, cancelled, diverted)
