@@ -12,9 +12,9 @@ from tidemark.plans import registry
 
 from .conftest import SMALL
 
-def small_tables():
+def small_tables(folder=SMALL):
     con = duckdb.connect()
-    for path in glob.glob(f"{SMALL}/*.parquet"):
+    for path in glob.glob(f"{folder}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
     return con
 
