@@ -180,7 +180,8 @@ def cluster_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def packing_checks(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of p8_packed: all texts, those that fit uncut, nothing above 2,000 tokens or its window, little unused."""
+    """What must hold of p8_packed: all texts, those that fit uncut, nothing above 2,000 tokens or its window, little unused where
+    there are enough texts (a thousand)."""
     packed = staged(p8_packed(spark, d), "packed")
     texts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
     cut = texts.agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("k") > 1) & (F.col("n") <= 2000)).alias("cut_small"))
@@ -191,7 +192,8 @@ def packing_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mix_checks(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of p9_shares: each source with texts has its share among those, within 0.01, and no text more copies than allowed."""
+    """What must hold of p9_shares: each source with texts has its share among those, within 0.01 where there are enough texts (a thousand), and
+    no text has more copies than allowed."""
     found = staged(p9_shares(spark, d), "shares")
     whole = found.agg(F.sum(F.when(F.col("mix_tokens") > 0, F.col("target_share"))).alias("_whole"))
     share = F.when(F.col("mix_tokens") > 0, F.col("target_share") / F.col("_whole")).otherwise(0.0)
