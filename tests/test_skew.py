@@ -28,3 +28,9 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([("a", 1.0, 1)] * 3, "k string, v double, row bigint")
     same_rows(skew.key_statistics(df, "k", "v", ["row"]).collect(), [("a", 3, 3, 3.0, 1.0, True)])
     assert skew.key_statistics(df.limit(0), "k", "v", ["row"]).count() == 0
+
+
+def test_share_of_more_rows_than_an_int_holds_ten_thousandths_of(spark):
+    df = spark.range(300_000).selectExpr("if(id < 299999, 'a', 'b') as k", "1.0D as v", "id as row")
+    found = skew.key_statistics(df, "k", "v", ["row"], named_share=0.99)
+    same_rows([(r.key_value, r.n, r.is_heavy) for r in found.collect()], [("a", 299_999, True), ("b", 1, False)])

@@ -54,5 +54,6 @@ def key_statistics(df: DataFrame, key: str, value: str, spread: list[str], named
     partials = {"n": F.count(F.lit(1)), "n_value": F.count(known), "total": F.sum(known)}
     heavy = heavy_of(counts, min(named_share, 0.01))
     per = salted_aggregate(rows_of, "key_value", partials, {"n": F.sum("n"), "n_value": F.sum("n_value"), "total": F.sum("total")}, [f"_spread{i}" for i in range(len(spread))], heavy, salts)
-    is_heavy = F.col("key_value").isNotNull() & (F.col("n") * 10_000 >= F.lit(rows) * round(named_share * 10_000))
+    least = -(-rows * round(named_share * 10_000) // 10_000)  # rounded up, in Python, as products of columns overflow
+    is_heavy = F.col("key_value").isNotNull() & (F.col("n") >= F.lit(least))
     return per.select("key_value", "n", "n_value", "total", (F.col("total") / F.nullif(F.col("n_value"), F.lit(0))).alias("mean"), is_heavy.alias("is_heavy"))
