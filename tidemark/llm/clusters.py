@@ -7,22 +7,71 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import staged
 
-#: Cells of each feature between its low and high quantile on the coarsest grid; a finer one has a power of two times as many. The finest
-#: is taken that has at most about MOST_CELLS cells with records, so tables of fewer records have a cell for nearly each.
-CELLS = 40
-MOST_CELLS = 65_536
-FINEST = 12
+#: A cell is halved in each feature until it has at most this part of the records that a core distance reaches, or a single place, whatever
+#: the number of records; so there are at most some multiples of PARTS / neighbours_share cells.
+PARTS = 32
+#: Halvings of each feature at most, and those that all cells have; a place of all features has PLACE_BITS bits.
+BITS, FIRST_BITS, PLACE_BITS = 20, 3, 62
+#: Up to so many records that are still in cells to be halved are gathered with their places, which gives the same cells in one pass.
+GATHERED = 262_144
 #: Quantiles that stand for a feature's range; half the range is added on either side and what lies beyond is clipped to the edge.
 LOW, HIGH = 0.005, 0.995
 #: Cells of a block, whose distances to the cells of another block are computed at a time.
 BLOCK = 256
 
 
+def places(units: np.ndarray, bits: int) -> np.ndarray:
+    """Places of rows (-0.5 to 1.5 in each feature) on a grid of `bits` halvings: the bits of the features in turn, so a cell of any
+    number of halvings is a range of places."""
+    at = np.clip(np.floor((units + 0.5) * (1 << (bits - 1))), 0, (1 << bits) - 1).astype(np.int64)
+    out = np.zeros(len(at), dtype=np.int64)
+    for bit in range(bits - 1, -1, -1):
+        for f in range(at.shape[1]):
+            out = (out << 1) | ((at[:, f] >> bit) & 1)
+    return out
+
+
+def cell_starts(place: np.ndarray, n: np.ndarray, halved: int, bits: int, features: int, most: int) -> list[np.ndarray]:
+    """First places of the cells of `place`, from cells that are `halved` so often on: of at most `most` records, or a single place."""
+    order = np.argsort(place)
+    place, n = place[order], n[order]
+    out = []
+    while len(place):
+        shift = (bits - halved) * features
+        cell, at = np.unique(place >> shift, return_index=True)
+        light = (np.add.reduceat(n, at) <= most) | (halved == bits)
+        out.append(cell[light] << shift)
+        rest = np.repeat(~light, np.diff(np.append(at, len(place))))
+        place, n, halved = place[rest], n[rest], halved + 1
+    return out
+
+
+def grid_cells(counts: DataFrame, bits: int, features: int, most: int, gathered: int = GATHERED) -> np.ndarray:
+    """First places of the cells of `counts` (place, n) in order, see `cell_starts`. A pass counts the records of the cells that were too
+    large before, so what is gathered has a bound, as there are few of these."""
+    spark = counts.sparkSession
+    rest, left, halved, out = counts, counts.agg(F.sum("n")).first()[0], min(FIRST_BITS, bits), []
+    while left > gathered:
+        shift = (bits - halved) * features
+        found = rest.groupBy(F.shiftright("place", shift).alias("cell")).agg(F.sum("n").alias("n")).toArrow()
+        cell, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
+        light = (n <= most) | (halved == bits)
+        out.append(cell[light] << shift)
+        left, halved = n[~light].sum(), halved + 1
+        if left:
+            large = F.broadcast(spark.createDataFrame(pa.table({"_cell": cell[~light]})))
+            rest = counts.join(large, F.shiftright("place", shift) == F.col("_cell"), "left_semi")
+    if left:
+        found = rest.select("place", "n").toArrow()
+        out += cell_starts(found.column("place").to_numpy(), found.column("n").to_numpy(), halved, bits, features, most)
+    return np.sort(np.concatenate(out))
+
+
 @dataclass
 class Hierarchy:
     """Selected clusters of cells: label of each cell (-1 noise), persistence of each cell in its cluster, stability of each label."""
@@ -266,16 +315,16 @@ def spanning_tree(spark, blocks: Blocks, core: np.ndarray) -> list[tuple[float,
     return edges
 
 
-def cluster(df: DataFrame, id_col: str, features: list[str], missing: float | None = 0.0, neighbours_share: float = 0.001, least_neighbours: int = 8, cluster_share: float = 0.02, most_cells: int = MOST_CELLS) -> DataFrame:
+def cluster(df: DataFrame, id_col: str, features: list[str], missing: float | None = 0.0, neighbours_share: float = 0.001, least_neighbours: int = 8, cluster_share: float = 0.02, parts: int = PARTS) -> DataFrame:
     """Cluster of each record: id, the features, cluster (0.., -1 for noise), nearest (its cluster, of noise that of the nearest member),
     persistence (of the record's cell in its cluster; 0 for noise).
 
-    Each feature counts alike: it is scaled by its range between two quantiles. Records fall into the finest grid of cells of that space
-    that has at most about `most_cells` cells with records. Cells are weighted by their records and stand at their mean; two records of a
-    cell are never told apart, so the hierarchy is that of the records up to a cell's width, and with fewer records than `most_cells` that of
-    the records but for those that all but coincide. A cell's core distance reaches `neighbours_share` of all records
-    (`least_neighbours` at least); the minimum spanning tree of mutual reachability over all cells is condensed with clusters of
-    `cluster_share` of all records at least, and clusters are selected by stability.
+    Each feature counts alike: it is scaled by its range between two quantiles. That space is halved in each feature into cells until a
+    cell has at most a part, 1 / `parts`, of the records that a core distance reaches, or one record: the same rule for tables of any
+    size, by shares of the records. Cells are weighted by their records and stand at their mean; two records of a cell aren't told apart.
+    Where a core distance reaches fewer than 2 * `parts` records each record has a cell of its own, but for those that all but coincide. A cell's core distance
+    reaches `neighbours_share` of all records (`least_neighbours` at least); the minimum spanning tree of mutual reachability over all cells
+    is condensed with clusters of `cluster_share` of all records at least, and clusters are selected by stability.
 
     Records with a null id, or with a feature that is null, NaN, infinite or equal to `missing`, make no case. Rows of one id count
     once, with the smallest features. Other columns are ignored. Empty tables give no rows; a single cell is a single cluster.
@@ -296,25 +345,32 @@ def cluster(df: DataFrame, id_col: str, features: list[str], missing: float | No
     width = [(s[1] - s[0]) or 1.0 for s in spans]
     unit = [F.least(F.greatest((F.col(n) - F.lit(lo)) / F.lit(w), F.lit(-0.5)), F.lit(1.5)) for n, lo, w in zip(names, low, width)]
     scaled = records.select("id", *names, *[u.alias(f"u{i}") for i, u in enumerate(unit)])
+    units = [f"u{i}" for i in range(len(names))]
+    bits = min(BITS, PLACE_BITS // len(names))
 
-    def code(cells: int) -> Column:
-        places = [F.least(F.floor((F.col(f"u{i}") + 0.5) * cells), F.lit(2 * cells - 1)).cast("bigint") for i in range(len(names))]
-        out = F.lit(0).cast("bigint")
-        for p in places:
-            out = out * (2 * cells) + p
-        return out
-
-    levels = [j for j in range(FINEST) if (2 * CELLS << j) ** len(names) < 1 << 63] or [0]
-    occupied = scaled.select(*[F.approx_count_distinct(code(CELLS << j)).alias(f"n{j}") for j in levels]).first()
-    cells = CELLS << max((j for j in levels if occupied[f"n{j}"] <= most_cells), default=0)
-    scaled = scaled.withColumn("cell", code(cells))
-    found = scaled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"u{i}"), 12).alias(f"u{i}") for i in range(len(names))]).orderBy("cell").toArrow()  # bounded by most_cells, or by the coarsest grid
-    cell, weight = found.column("cell").to_numpy(), found.column("n").to_numpy().astype(np.float64)
-    points = np.column_stack([found.column(f"u{i}").to_numpy() for i in range(len(names))])
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.column_stack([batch.column(f"u{i}").to_numpy() for i in range(len(units))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places(own, bits))], names=[*batch.schema.names, "place"])
+
+    at_places = scaled.select(*units).mapInArrow(placed, f"{', '.join(f'{u} double' for u in units)}, place bigint")
+    counts = staged(at_places.groupBy("place").agg(F.count(F.lit(1)).alias("n"), *[F.sum(u).alias(u) for u in units]), "places")
+    total = counts.agg(F.sum("n")).first()[0]
+    neighbours, least = max(least_neighbours, int(np.ceil(total * neighbours_share))), max(2.0 * least_neighbours, total * cluster_share)
+    cell = grid_cells(counts, bits, len(names), max(neighbours // parts, 1))
+    cells_of = spark.sparkContext.broadcast(cell)
+
+    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = np.searchsorted(cells_of.value, batch.column("place").to_numpy(), side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(i), *batch.columns[1:]], names=["cell", *batch.schema.names[1:]])
+
+    held = counts.select("place", "n", *units).mapInArrow(in_cells, f"cell bigint, n bigint, {', '.join(f'{u} double' for u in units)}")
+    found = held.groupBy("cell").agg(F.sum("n").alias("n"), *[F.round(F.sum(u) / F.sum("n"), 12).alias(u) for u in units]).orderBy("cell").toArrow()  # as many as cells
+    weight = found.column("n").to_numpy().astype(np.float64)
+    points = np.column_stack([found.column(u).to_numpy() for u in units])
     order, starts = near_order(points)
     cell, weight, blocks = cell[order], weight[order], blocks_of(points[order], starts)
-    total = weight.sum()
-    neighbours, least = max(least_neighbours, int(np.ceil(total * neighbours_share))), max(2.0 * least_neighbours, total * cluster_share)
     shared = spark.sparkContext.broadcast((blocks, weight))
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +378,7 @@ def cluster(df: DataFrame, id_col: str, features: list[str], missing: float | No
         for batch in batches:
             for block in batch.column(0).to_pylist():
                 rows = index.rows(block)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows.start, rows.stop)), pa.array(core_distances(index, weights, block, neighbours, 0.5 / cells))], names=["at", "core"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows.start, rows.stop)), pa.array(core_distances(index, weights, block, neighbours, 2.0**-bits))], names=["at", "core"])
 
     count = len(starts) - 1
     reached = spark.range(0, count, 1, min(count, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(reach, "at bigint, core double").toArrow()  # one row per cell
@@ -342,11 +398,12 @@ def cluster(df: DataFrame, id_col: str, features: list[str], missing: float | No
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells_at, labels, nearests, persistences = answer.value
         for batch in batches:
-            i = np.searchsorted(cells_at, batch.column(len(carried)).to_numpy())
+            own = np.column_stack([batch.column(u).to_numpy() for u in units])
+            i = np.searchsorted(cells_at, places(own, bits), side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(labels[i].astype(np.int32)), pa.array(nearests[i].astype(np.int32)), pa.array(persistences[i])], names=[*carried, "cluster", "nearest", "persistence"])
 
     kind = records.schema["id"].dataType.simpleString()
-    named = scaled.select(*carried, "cell").mapInArrow(name, f"id {kind}, {', '.join(f'{n} double' for n in names)}, cluster int, nearest int, persistence double")
+    named = scaled.select(*carried, *units).mapInArrow(name, f"id {kind}, {', '.join(f'{n} double' for n in names)}, cluster int, nearest int, persistence double")
     return named.select(F.col("id").alias(id_col), *[F.col(n).alias(o) for n, o in zip([*names, "cluster", "nearest", "persistence"], out_names)])
 
 
